@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Every character that counts as white space around a text.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 FRACTIONAL = (T.FloatType, T.DoubleType)
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
@@ -50,6 +53,11 @@ def as_double(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent with four decimals, 0 when the whole is empty."""
     share = F.try_divide(part.cast("double"), whole.cast("double"))
@@ -83,6 +91,28 @@ def per_column(columns: Sequence[str], branch: Callable[[int, str], DataFrame],
     return rows
 
 
+def column_aggregates(
+    df: DataFrame, columns: Sequence[str], make: Callable[[str, Column], dict[str, Column]], per_scan: int = 8
+) -> list[dict]:
+    """Plain aggregates (no value counting) of many columns, one dict per column.
+
+    ``per_scan`` columns share one aggregate: more would outgrow what the JIT
+    compiles, fewer would only add plan branches.  All of them run in one job
+    that returns one row per column.
+    """
+    frames = []
+    for start in range(0, len(columns), per_scan):
+        chunk = list(enumerate(columns))[start : start + per_scan]
+        structs = []
+        for i, c in chunk:
+            parts = make(c, ref(c))
+            structs.append(F.struct(F.lit(i).alias("_i"), *[e.alias(n) for n, e in parts.items()]).alias(f"s{i}"))
+        wide = df.agg(*structs)
+        frames.append(wide.select(F.explode(F.array(*[f"s{i}" for i, _ in chunk])).alias("s")).select("s.*"))
+    rows = {r["_i"]: r.asDict() for r in union_all(frames).collect()} if frames else {}
+    return [rows[i] for i in range(len(columns))]
+
+
 def top_n_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: int = 64
 ) -> DataFrame:

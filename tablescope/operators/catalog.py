@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.columns import percent, ref, top_n_per_group
+from tablescope.functions.columns import percent, ref, stripped, top_n_per_group
 from tablescope.operators.features import profile_with_dictionary
 
 #: Fixed list of roles a user may give to a column.
@@ -31,7 +31,7 @@ DICTIONARY_SCHEMA = (
 
 
 def _cut(text: Column, length: int) -> Column:
-    return F.substring(F.trim(text), 1, length)
+    return F.substring(stripped(text), 1, length)
 
 
 def normalise_dictionary(entries: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -52,10 +52,10 @@ def normalise_dictionary(entries: DataFrame, columns: Sequence[str]) -> tuple[Da
     )
     tidy = entries.withColumns(
         {
-            "column_name": F.trim("column_name"),
+            "column_name": stripped(F.col("column_name")),
             "description": _cut(F.coalesce("description", F.lit("")), DESCRIPTION_LENGTH),
-            "semantic_role": F.lower(F.trim(F.coalesce("semantic_role", F.lit("unspecified")))),
-            "source_column": F.trim(F.coalesce("source_column", F.lit(""))),
+            "semantic_role": F.lower(stripped(F.coalesce("semantic_role", F.lit("unspecified")))),
+            "source_column": stripped(F.coalesce("source_column", F.lit(""))),
             "class_descriptions": unique,
         }
     )

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.columns import flat_columns, is_numeric, nan_to_null, per_column, ref
+from tablescope.functions.columns import (
+    column_aggregates,
+    flat_columns,
+    is_numeric,
+    nan_to_null,
+    per_column,
+    ref,
+)
 from tablescope.functions.session import pinned
 from tablescope.operators.profile import (
     column_profile,
@@ -71,23 +78,16 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    def branch(i: int, name: str) -> DataFrame:
-        return df.select(ref(name).alias("v")).agg(
-            F.lit(i).alias("i"), F.count_if(F.col("v").isNull()).alias("m")
-        )
-
-    return {columns[r["i"]]: r["m"] for r in per_column(columns, branch)}
+    facts = column_aggregates(df, columns, lambda _, v: {"m": F.count_if(v.isNull())})
+    return {c: r["m"] for c, r in zip(columns, facts)}
 
 
 def fill_values(df: DataFrame, columns: Sequence[str], how: str = "median") -> dict[str, object]:
     """Replacement per column: median or mean of numbers, mode of the rest."""
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
     if how == "mean":
-
-        def branch(i: int, name: str) -> DataFrame:
-            return df.select(ref(name).cast("double").alias("v")).agg(F.lit(i).alias("i"), F.avg("v").alias("m"))
-
-        values: dict[str, object] = {numeric[r["i"]]: r["m"] for r in per_column(numeric, branch)} if numeric else {}
+        facts = column_aggregates(df, numeric, lambda _, v: {"m": F.avg(v.cast("double"))})
+        values: dict[str, object] = {c: r["m"] for c, r in zip(numeric, facts)}
     else:
         values = {c: q[0] for c, q in exact_quantiles(df, {c: [0.5] for c in numeric}).items()} if numeric else {}
     values.update(modes(df, [c for c in columns if c not in numeric]))
@@ -140,14 +140,8 @@ def clean(
     zeros = [c for c in dict.fromkeys(zero_as_missing)
              if c in current.columns and is_numeric(current.schema[c].dataType)]
     if zeros:
-        source = current
-
-        def branch(i: int, name: str) -> DataFrame:
-            return source.select(ref(name).alias("v")).agg(
-                F.lit(i).alias("i"), F.count_if(F.col("v") == 0).alias("z")
-            )
-
-        found = {zeros[r["i"]]: r["z"] for r in per_column(zeros, branch)}
+        facts = column_aggregates(current, zeros, lambda _, v: {"z": F.count_if(v == 0)})
+        found = {c: r["z"] for c, r in zip(zeros, facts)}
         changes += [("zero_to_missing", c, found[c]) for c in zeros if found[c]]
         current = zero_to_null(current, zeros)
 

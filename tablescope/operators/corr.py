@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import (
     as_double,
+    column_aggregates,
     nan_to_null,
     numeric_columns,
-    per_column,
     ref,
     require_column,
     union_all,
 )
 from tablescope.functions.stats import clip_unit, defined, safe_corr
-from tablescope.operators.ranks import BROADCAST_ROWS, attach_ranks, rank_tables
+from tablescope.operators.ranks import BROADCAST_ROWS, attach_ranks, rank_tables, table_sizes
 
 METHODS = ("pearson", "spearman")
 MATRIX_COLUMNS = 14
@@ -41,13 +41,19 @@ def numeric_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return pair.where("x is not null and y is not null")
 
 
-def pair_moments(df: DataFrame, left: Sequence[str], right: Sequence[str], weight: str | None = None) -> DataFrame:
+def pair_moments(
+    df: DataFrame,
+    left: Sequence[str],
+    right: Sequence[str],
+    weight: str | None = None,
+    centre: float | None = None,
+) -> DataFrame:
     """Sums over the complete rows of every (left, right) pair; one scan.
 
     Rows ``l, r, n, sx, sy, sxx, syy, sxy, min_x, max_x, min_y, max_y``.  The
     sums of all pairs are matrix products of the value and presence matrices,
-    taken per Arrow batch; values are centred first so that the sums do not
-    cancel.  (A single SQL aggregate over all pairs grows past what the JIT
+    taken per Arrow batch; values are centred first (on ``centre`` when it is
+    known, else on their means) so that the sums do not cancel.  (A single SQL aggregate over all pairs grows past what the JIT
     compiles and was 5-20 times slower.)
     """
     names = list(dict.fromkeys([*left, *right]))
@@ -56,11 +62,12 @@ def pair_moments(df: DataFrame, left: Sequence[str], right: Sequence[str], weigh
     frame = df.select(*[as_double(df, c).alias(f"c{k}") for k, c in enumerate(names)],
                       *([ref(weight).cast("double").alias("w")] if weight else []))
 
-    def mean(k: int, _) -> DataFrame:
-        return frame.agg(F.lit(k).alias("k"), F.avg(f"c{k}").alias("m"))
-
-    found = {r["k"]: r["m"] for r in per_column(names, mean)}
-    centre = np.array([found[k] if found[k] is not None and np.isfinite(found[k]) else 0.0 for k in range(len(names))])
+    values = [f"c{k}" for k in range(len(names))]
+    if centre is None:
+        means = [r["m"] for r in column_aggregates(frame, values, lambda _, v: {"m": F.avg(v)})]
+    else:
+        means = [centre] * len(values)
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = (len(li), len(ri))
@@ -75,7 +82,7 @@ def pair_moments(df: DataFrame, left: Sequence[str], right: Sequence[str], weigh
                 [batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))]
             )
             there = ~np.isnan(data)
-            value = np.where(there, data - centre, 0.0)
+            value = np.where(there, data - shift, 0.0)
             w = batch.column(len(names)).to_numpy(zero_copy_only=False).reshape(-1, 1) if weight else 1.0
             ml, mr = there[:, li].astype(float), there[:, ri].astype(float)
             xl, xr = value[:, li], value[:, ri]
@@ -131,13 +138,10 @@ def coefficients(moments: DataFrame) -> DataFrame:
 
 
 def _incomplete(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    def branch(i: int, name: str) -> DataFrame:
-        return df.select(as_double(df, name).alias("v")).agg(
-            F.lit(i).alias("i"), F.count_if(F.col("v").isNull()).alias("m")
-        )
-
-    gaps = {r["i"]: r["m"] for r in per_column(columns, branch)}
-    return [c for i, c in enumerate(columns) if gaps[i]]
+    facts = column_aggregates(
+        df, columns, lambda name, _: {"m": F.count_if(as_double(df, name).isNull())}
+    )
+    return [c for c, r in zip(columns, facts) if r["m"]]
 
 
 def spearman_coefficients(
@@ -168,17 +172,23 @@ def spearman_coefficients(
             rows = rows.where(as_double(df, c).isNotNull())
         labels[key] = {c: f"{number}:{c}" for c in used}
         frames[key] = rows
-    tables = rank_tables({labels[k][c]: (frames[k], c) for k in sets for c in labels[k]})
-    parts = []
-    for key, (ls, rs) in sets.items():
-        ranked = attach_ranks(frames[key], labels[key], tables, broadcast_rows=broadcast_rows)
-        part = coefficients(pair_moments(ranked, ls, rs, weight="w"))
-        if len(key) < 2:  # a set of one incomplete column also forms pairs that belong elsewhere
-            mine = [F.struct(F.lit(a), F.lit(b)) for a in ls for b in rs
-                    if tuple(c for c in names if c in gaps and c in (a, b)) == key]
-            part = part.where(F.struct("l", "r").isin(mine))
-        parts.append(part)
-    return union_all(parts)
+    tables = rank_tables({labels[k][c]: (frames[k], c) for k in sets for c in labels[k]}).persist()
+    try:
+        sizes = table_sizes(tables)
+        parts = []
+        for key, (ls, rs) in sets.items():
+            mine = [(a, b) for a in ls for b in rs if key == tuple(c for c in names if c in gaps and c in (a, b))]
+            known = [sizes[labels[key][c]].rows for c in (ls[0], rs[0]) if labels[key][c] in sizes]
+            if len(known) < 2:  # no complete row
+                continue
+            ranked = attach_ranks(frames[key], labels[key], tables, sizes=sizes, broadcast_rows=broadcast_rows)
+            moments = pair_moments(ranked, ls, rs, weight="w", centre=(known[0] + 1) / 2.0)
+            pairs = [F.struct(F.lit(a), F.lit(b)) for a, b in mine]
+            parts.append(coefficients(moments).where(F.struct("l", "r").isin(pairs)))
+        rows = union_all(parts).collect() if parts else []  # one row per pair
+    finally:
+        tables.unpersist()
+    return df.sparkSession.createDataFrame(rows, "l string, r string, coefficient double, rows_used bigint")
 
 
 def pair_coefficients(

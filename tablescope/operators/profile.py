@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
     FRACTIONAL,
+    column_aggregates,
     flat_columns,
     is_numeric,
     nan_to_null,
@@ -51,10 +52,9 @@ PROFILED_TARGETS = 10
 DUPLICATE_GROUPS = 1_000_000
 
 
-def _whole(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
-    """(is a whole number, is 0 or 1, is zero) for a value column ``v``."""
+def _whole(df: DataFrame, name: str, v: Column) -> tuple[Column, Column, Column]:
+    """(is a whole number, is 0 or 1, is zero) for values ``v`` of a column."""
     data_type = df.schema[name].dataType
-    v = F.col("v")
     if isinstance(data_type, FRACTIONAL):
         return (v == F.rint(v)) & (F.abs(v) < float("inf")), v.isin(0.0, 1.0), v == 0
     if isinstance(data_type, T.DecimalType):
@@ -68,7 +68,7 @@ def _exact_facts(df: DataFrame, names: Sequence[str]):
     """Every fact of a column from one pass over its counted values."""
 
     def branch(i: int, name: str) -> DataFrame:
-        whole, zero_one, zero = _whole(df, name)
+        whole, zero_one, zero = _whole(df, name, F.col("v"))
         counted = df.select(ref(name).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         return counted.agg(
             F.lit(i).alias("ordinal"),
@@ -80,31 +80,32 @@ def _exact_facts(df: DataFrame, names: Sequence[str]):
             F.coalesce(F.bool_and(F.when(F.col("v").isNotNull(), zero_one)), F.lit(False)).alias("zero_one"),
         )
 
-    return per_column(names, branch)
+    return [r.asDict() for r in per_column(names, branch)]
 
 
-def _sketched_facts(df: DataFrame, names: Sequence[str], error: float = 0.01):
+def _sketched_facts(df: DataFrame, names: Sequence[str]):
     """As above without any shuffle of values: distinct counts are estimates."""
 
-    def branch(i: int, name: str) -> DataFrame:
-        whole, zero_one, zero = _whole(df, name)
-        v = F.col("v")
-        return df.select(ref(name).alias("v")).agg(
-            F.lit(i).alias("ordinal"),
-            F.count(F.lit(1)).alias("rows_count"),
-            F.count_if(v.isNull()).alias("missing_count"),
-            F.approx_count_distinct(v, error).alias("distinct_count"),
-            F.count_if(zero).alias("zero_count"),
-            F.coalesce(F.bool_and(F.when(v.isNotNull(), whole)), F.lit(False)).alias("whole"),
-            F.coalesce(F.bool_and(F.when(v.isNotNull(), zero_one)), F.lit(False)).alias("zero_one"),
-        )
+    def make(name: str, v: Column) -> dict[str, Column]:
+        whole, zero_one, zero = _whole(df, name, v)
+        return {
+            "rows_count": F.count(F.lit(1)),
+            "missing_count": F.count_if(v.isNull()),
+            # 4096 registers, 1.6 % standard error; a byte-array buffer of 4 KB per column
+            "distinct_count": F.coalesce(
+                F.hll_sketch_estimate(F.hll_sketch_agg(F.when(v.isNotNull(), F.xxhash64(v)), 12)), F.lit(0)
+            ),
+            "zero_count": F.count_if(zero),
+            "whole": F.coalesce(F.bool_and(F.when(v.isNotNull(), whole)), F.lit(False)),
+            "zero_one": F.coalesce(F.bool_and(F.when(v.isNotNull(), zero_one)), F.lit(False)),
+        }
 
-    return per_column(names, branch)
+    return [{"ordinal": i, **r} for i, r in enumerate(column_aggregates(df, names, make))]
 
 
 def _near_an_edge(row, rows_count: int) -> bool:
     edges = [*ROLE_EDGES, rows_count * CATEGORICAL_SHARE, rows_count * HIGH_CARDINALITY_SHARE]
-    return any(abs(row["distinct_count"] - e) <= max(2, 0.05 * e) for e in edges)
+    return any(abs(row["distinct_count"] - e) <= max(2, 0.08 * e) for e in edges)
 
 
 def column_profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
@@ -119,12 +120,12 @@ def column_profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
     names = flat_columns(frame)
     if not names:
         raise ValueError("The table has no columns to profile")
-    facts = {r["ordinal"]: r.asDict() for r in (_exact_facts if exact else _sketched_facts)(frame, names)}
+    facts = {r["ordinal"]: r for r in (_exact_facts if exact else _sketched_facts)(frame, names)}
     if not exact:
         close = [names[o] for o, r in facts.items() if _near_an_edge(r, r["rows_count"])]
         for row in _exact_facts(frame, close):
             ordinal = names.index(close[row["ordinal"]])
-            facts[ordinal] = {**row.asDict(), "ordinal": ordinal}
+            facts[ordinal] = {**row, "ordinal": ordinal}
     rows = []
     for ordinal, name in enumerate(names):
         data_type = frame.schema[name].dataType
@@ -224,12 +225,10 @@ def missing_values(df: DataFrame) -> DataFrame:
     frame = nan_to_null(df)
     names = frame.columns
 
-    def branch(i: int, name: str) -> DataFrame:
-        return frame.select(ref(name).alias("v")).agg(
-            F.lit(i).alias("ordinal"), F.count_if(F.col("v").isNull()).alias("m"), F.count(F.lit(1)).alias("n")
-        )
-
-    rows = [(r["ordinal"], names[r["ordinal"]], r["m"], r["n"]) for r in per_column(names, branch)]
+    facts = column_aggregates(
+        frame, names, lambda _, v: {"m": F.count_if(v.isNull()), "n": F.count(F.lit(1))}
+    )
+    rows = [(i, names[i], r["m"], r["n"]) for i, r in enumerate(facts)]
     local = df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, missing_count bigint, n bigint")
     return local.select(
         "ordinal", "column_name", "missing_count", percent(F.col("missing_count"), F.col("n")).alias("missing_percent")

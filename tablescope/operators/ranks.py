@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.columns import as_double, per_column, ref, union_all
+from tablescope.functions.columns import as_double, column_aggregates, per_column, ref, union_all
 from tablescope.functions.session import pinned
 
 #: Largest number of rows whose quantiles one task may work out.
 ONE_TASK_ROWS = 1_000_000
 #: Largest rank table (distinct values) that is sent to every executor.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 #: A value holding at least this share of the rows is handled by broadcast;
 #: at most 1/HOT_SHARE such values can exist.
 HOT_SHARE = 0.001
@@ -66,13 +67,9 @@ def exact_quantiles(
     columns = list(wanted)
     frame = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
 
-    def sizes(i, _):
-        return frame.select(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")).groupBy("i").agg(
-            F.count("v").alias("n")
-        )
-
-    size = {r["i"]: r["n"] for r in per_column(columns, sizes)}
-    small = [c for i, c in enumerate(columns) if size.get(i, 0) <= one_task_rows]
+    facts = column_aggregates(frame, frame.columns, lambda _, v: {"n": F.count(v)})
+    size = {i: r["n"] for i, r in enumerate(facts)}
+    small = [c for i, c in enumerate(columns) if size[i] <= one_task_rows]
     result: dict[str, list[float | None]] = {}
     if small:
         index = {c: i for i, c in enumerate(columns)}
@@ -184,8 +181,24 @@ def rank_tables(frames: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return ordered.withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0).drop("below")
 
 
+class TableSize(NamedTuple):
+    values: int
+    rows: int
+
+
+def table_sizes(tables: DataFrame) -> dict[str, TableSize]:
+    """Distinct values and rows behind every rank table."""
+    counted = tables.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    return {r["g"]: TableSize(r["k"], r["n"]) for r in counted.collect()}
+
+
 def attach_ranks(
-    df: DataFrame, labels: Mapping[str, str], tables: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    labels: Mapping[str, str],
+    tables: DataFrame,
+    *,
+    sizes: Mapping[str, TableSize] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace columns by their ranks; ``labels`` maps column -> table label.
 
@@ -195,11 +208,9 @@ def attach_ranks(
     value held by a third of all rows cannot overload one task.  Identical
     rows are folded into one row with weight ``w`` before they are shuffled.
     """
-    sizes = {
-        r["g"]: (r["k"], r["n"])
-        for r in tables.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()
-    }
-    large = [c for c, g in labels.items() if sizes.get(g, (0, 0))[0] > broadcast_rows]
+    sizes = table_sizes(tables) if sizes is None else sizes
+    empty = TableSize(0, 0)
+    large = [c for c, g in labels.items() if sizes.get(g, empty).values > broadcast_rows]
     columns = list(labels)
     frame = df.select(
         *[f for j, c in enumerate(columns) for f in
@@ -220,7 +231,7 @@ def attach_ranks(
             small = table.select(F.col("_v").alias("_k"), F.col("rank").alias(f"r{j}"))
             frame = frame.join(F.broadcast(small), key == F.col("_k"), "left").drop("_k")
             continue
-        cut = sizes[labels[c]][1] * HOT_SHARE
+        cut = sizes[labels[c]].rows * HOT_SHARE
         hot = table.where(F.col("n") >= cut).select(F.col("_v").alias("_h"), F.col("rank").alias("_hot"))
         cold = table.where(F.col("n") < cut).select(
             F.col("_v").alias("_k"), F.lit(0).alias("_s"), F.col("rank").alias("_cold")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
     as_double,
+    column_aggregates,
     flat_columns,
     is_numeric,
     nan_to_null,
@@ -35,14 +36,12 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     if not names:
         return df.sparkSession.createDataFrame([], NUMERIC_STATS)
 
-    def branch(i: int, name: str) -> DataFrame:
-        v = F.col("v")
-        return df.select(as_double(df, name).alias("v")).agg(
-            F.lit(i).alias("i"), F.count(v).alias("n"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-        )
-
-    facts = {r["i"]: r for r in per_column(names, branch)}
+    values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    facts = column_aggregates(
+        values,
+        values.columns,
+        lambda _, v: {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "lo": F.min(v), "hi": F.max(v)},
+    )
     cuts = exact_quantiles(df, {c: QUARTILES for c in names})
     rows = [(c, facts[i]["n"], facts[i]["mean"], facts[i]["std"], facts[i]["lo"], *cuts[c], facts[i]["hi"])
             for i, c in enumerate(names)]

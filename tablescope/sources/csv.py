@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.columns import per_column, ref
+from tablescope.functions.columns import column_aggregates, ref
 
 #: Fixed list of texts that mean "missing".
 MISSING_TOKENS = (
@@ -65,22 +65,24 @@ def _known(value: Column) -> Column:
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Narrowest of BIGINT, DOUBLE, BOOLEAN, STRING that fits every value."""
 
-    def branch(i: int, name: str) -> DataFrame:
-        v = F.col("v")
-        whole = v.rlike(INTEGER) & F.trim(v).try_cast("bigint").isNotNull()
-        return df.select(_known(ref(name)).alias("v")).agg(
-            F.lit(i).alias("i"), F.count(v).alias("n"), F.bool_and(whole).alias("whole"),
-            F.bool_and(v.rlike(NUMBER)).alias("number"), F.bool_and(v.rlike(BOOLEAN)).alias("flag"),
-        )
+    def make(_: str, raw: Column) -> dict[str, Column]:
+        v = _known(raw)
+        whole = F.when(v.isNotNull(), v.rlike(INTEGER) & F.trim(v).try_cast("bigint").isNotNull())
+        return {
+            "n": F.count(v),
+            "whole": F.bool_and(whole),
+            "number": F.bool_and(v.rlike(NUMBER)),
+            "flag": F.bool_and(v.rlike(BOOLEAN)),
+        }
 
     types = {}
-    for r in per_column(df.columns, branch):
+    for name, r in zip(df.columns, column_aggregates(df, df.columns, make, per_scan=32)):
         kind = "string"
         if r["n"] == 0 or r["number"]:
             kind = "bigint" if r["n"] and r["whole"] else "double"
         elif r["flag"]:
             kind = "boolean"
-        types[df.columns[r["i"]]] = kind
+        types[name] = kind
     return {c: types[c] for c in df.columns}
 
 
