@@ -49,8 +49,8 @@ def _feature_vector_sums(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     matrix = modeling.model_matrix(dirty(spark, sf), "l_linestatus", ["l_orderkey", "l_returnflag"])
-    encoded, sources = modeling.encode(matrix)
-    sums = encoded.select(F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("i").agg(
+    sources = modeling.encoded_names(matrix)
+    sums = modeling.encode(matrix).select(F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("i").agg(
         F.sum("v").alias("total")
     )
     names = spark.createDataFrame([(i, *s) for i, s in enumerate(sources)], "i int, feature string, source string")

@@ -193,8 +193,9 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     counted = (
-        nan_to_null(df).select(ref(column).cast("string").alias("value")).where("value is not null")
-        .groupBy("value").agg(F.count(F.lit(1)).alias("value_count"))
+        nan_to_null(df).select(ref(column).alias("v")).where("v is not null")
+        .groupBy("v").agg(F.count(F.lit(1)).alias("value_count"))
+        .select(F.col("v").cast("string").alias("value"), "value_count")
         .orderBy(F.desc("value_count"), "value").limit(k)
     )
     # at most k rows are left here

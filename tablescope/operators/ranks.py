@@ -60,98 +60,114 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns, as Python numbers.
 
-    Small columns use the built-in ``percentile``.  Larger ones are narrowed
-    around each target by a bounded sample and settled exactly by counting;
-    the sample decides only how much data is looked at, never the result.
+    Columns of a checked small size are sorted inside one task (several times
+    faster than the built-in ``percentile``, whose buffer boxes every distinct
+    value).  Larger ones are narrowed around each target by a bounded sample
+    and settled exactly by counting; the sample decides only how much data is
+    looked at, never the result.
     """
     columns = list(wanted)
     frame = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-
     facts = column_aggregates(frame, frame.columns, lambda _, v: {"n": F.count(v)})
-    size = {i: r["n"] for i, r in enumerate(facts)}
-    small = [c for i, c in enumerate(columns) if size[i] <= one_task_rows]
-    result: dict[str, list[float | None]] = {}
-    if small:
-        index = {c: i for i, c in enumerate(columns)}
-
-        def direct(_, c):
-            probs = F.array(*[F.lit(float(p)) for p in wanted[c]])
-            return frame.agg(
-                F.lit(index[c]).alias("i"), F.percentile(F.col(f"c{index[c]}"), probs).alias("q")
-            )
-
-        for row in per_column(small, direct):
-            result[columns[row["i"]]] = list(row["q"]) if row["q"] else [None] * len(wanted[columns[row["i"]]])
-    for i, c in enumerate(columns):
-        if c not in result:
-            result[c] = _selected(frame.select(F.col(f"c{i}").alias("v")).where("v is not null"), size[i],
-                                  list(wanted[c]), one_task_rows)
-    return {c: result[c] for c in columns}
-
-
-def _selected(values: DataFrame, n: int, probs: list[float], sample_rows: int) -> list[float]:
-    """Order statistics by bracketing, then exact counting inside the brackets."""
-    places = sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    rows = min(sample_rows, 200_000)
+    size = [r["n"] for r in facts]
+    places = [_places(n, wanted[c]) for n, c in zip(size, columns)]
+    found: list[dict[int, float]] = [{} for _ in columns]
+    small = [i for i, n in enumerate(size) if 0 < n <= one_task_rows]
+
+    def direct(_, i: int) -> DataFrame:
+        ordered = frame.agg(F.sort_array(F.collect_list(f"c{i}")).alias("a"))
+        picked = F.array(*[F.element_at("a", F.lit(k + 1)) for k in places[i]])
+        return ordered.select(F.lit(i).alias("i"), picked.alias("v"))
+
+    for row in per_column(small, direct) if small else []:
+        found[row["i"]] = dict(zip(places[row["i"]], row["v"]))
+    large = [i for i, n in enumerate(size) if n > one_task_rows]
+    if large:
+        brackets = _brackets(frame, {i: size[i] for i in large}, places, min(one_task_rows, 200_000))
+        found_large = _search(frame, {(i, k): brackets[i, k] for i in large for k in places[i]})
+        missed = {t: (None, None) for t in brackets if t not in found_large}
+        if missed:  # a bracket did not hold its target: look at the whole column
+            found_large.update(_search(frame, missed))
+        for (i, k), v in found_large.items():
+            found[i][k] = v
+    return {c: [_interpolated(found[i], size[i], p) for p in wanted[c]] for i, c in enumerate(columns)}
+
+
+def _places(n: int, probs: Sequence[float]) -> list[int]:
+    """Positions in sorted order that the quantiles lie between."""
+    return sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) if n else []
+
+
+def _interpolated(at: Mapping[int, float], n: int, p: float) -> float | None:
+    if not n:
+        return None
+    position = p * (n - 1)
+    low, high = at[math.floor(position)], at[math.ceil(position)]
+    return low if low == high else low + (high - low) * (position - math.floor(position))
+
+
+def _brackets(frame: DataFrame, size: Mapping[int, int], places, rows: int) -> dict[tuple[int, int], tuple]:
+    """Bounds (open where ``None``) around every target, from a sample of bounded size."""
     margin = 8.0 / math.sqrt(rows)
-    asked = sorted({min(1.0, max(0.0, k / max(n - 1, 1) + d)) for k in places for d in (-margin, margin)})
-    sampled = values.sample(fraction=min(1.0, rows / n), seed=7)
-    cuts = sampled.agg(F.percentile("v", F.array(*[F.lit(a) for a in asked])).alias("q")).first()["q"] or []
-    at = dict(zip(asked, cuts))
-    brackets = []
-    for k in places:
-        low, high = k / max(n - 1, 1) - margin, k / max(n - 1, 1) + margin
-        lo = at.get(max(0.0, low)) if low > 0 else None
-        hi = at.get(min(1.0, high)) if high < 1 else None
-        brackets.append((lo, hi))
-    found = _search(values, n, places, brackets)
-    if len(found) < len(places):  # a bracket missed its target: look at everything
-        found = _search(values, n, places, [(None, None)] * len(places))
-    result = []
-    for p in probs:
-        pos = p * (n - 1)
-        a, b = found[math.floor(pos)], found[math.ceil(pos)]
-        result.append(a + (b - a) * (pos - math.floor(pos)))
-    return result
-
-
-def _search(values: DataFrame, n: int, places: list[int], brackets) -> dict[int, float]:
-    def inside(lo, hi) -> Column:
-        test = F.lit(True)
+    columns = list(size)
+    shares = {(i, k): k / (size[i] - 1) for i in columns for k in places[i]}
+    asked = {i: sorted({min(1.0, max(0.0, shares[i, k] + d)) for k in places[i] for d in (-margin, margin)})
+             for i in columns}
+
+    def sampled(_, i: int) -> DataFrame:
+        values = frame.select(F.col(f"c{i}").alias("v")).where("v is not null")
+        some = values.sample(fraction=min(1.0, rows / size[i]), seed=7)
+        ordered = some.agg(F.sort_array(F.collect_list("v")).alias("a"))
+        at = [F.element_at("a", F.greatest(F.lit(1), F.ceil(F.lit(q) * F.size("a"))).cast("int")) for q in asked[i]]
+        return ordered.where("size(a) > 0").select(F.lit(i).alias("i"), F.array(*at).alias("v"))
+
+    cuts = {r["i"]: dict(zip(asked[r["i"]], r["v"])) for r in per_column(columns, sampled)}
+    return {
+        (i, k): (
+            cuts.get(i, {}).get(q - margin) if q > margin else None,
+            cuts.get(i, {}).get(q + margin) if q < 1 - margin else None,
+        )
+        for (i, k), q in shares.items()
+    }
+
+
+def _search(frame: DataFrame, brackets: Mapping[tuple[int, int], tuple]) -> dict[tuple[int, int], float]:
+    """The value at each (column, position), if it lies inside its bracket.
+
+    Only values inside a bracket are counted and ordered; the rows below it
+    are merely summed up.
+    """
+    spark = frame.sparkSession
+    columns = list(dict.fromkeys(i for i, _ in brackets))
+    spans = {i: list(dict.fromkeys(b for (j, _), b in brackets.items() if j == i)) for i in columns}
+
+    def below(_, i: int) -> DataFrame:
+        v = F.col(f"c{i}")
+        sums = [F.count_if(v < F.lit(lo)) if lo is not None else F.count_if(F.lit(False)) for lo, _ in spans[i]]
+        return frame.select(v).agg(F.lit(i).alias("i"), F.array(*sums).alias("u"))
+
+    def inside(bounds) -> Column:
+        lo, hi = bounds
+        test = F.col("v").isNotNull()
         if lo is not None:
             test = test & (F.col("v") >= F.lit(lo))
-        if hi is not None:
-            test = test & (F.col("v") <= F.lit(hi))
-        return test
-
-    spans = sorted(set(brackets), key=str)
-    if (None, None) in spans:
-        spans = [(None, None)]
-        brackets = [(None, None)] * len(places)
-    under = values.agg(
-        *[
-            (F.count_if(F.col("v") < F.lit(lo)) if lo is not None else F.sum(F.lit(0))).alias(f"u{j}")
-            for j, (lo, _) in enumerate(spans)
-        ]
-    ).first()
-    picked = values.select(
-        "v", F.explode(F.array(*[F.when(inside(*s), F.lit(j)) for j, s in enumerate(spans)])).alias("g")
-    ).where("g is not null")
-    counts = picked.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    ordered = counts_below(counts, ["g"], ["v"])
-    hits = F.array(
-        *[
-            F.when(
-                (F.col("g") == spans.index(b))
-                & (F.col("below") + int(under[spans.index(b)]) <= k)
-                & (F.lit(k) < F.col("below") + F.col("n") + int(under[spans.index(b)])),
-                F.lit(k),
-            )
-            for k, b in zip(places, brackets)
-        ]
+        return test & (F.col("v") <= F.lit(hi)) if hi is not None else test
+
+    under = {r["i"]: r["u"] for r in per_column(columns, below)}
+    counts = union_all(
+        frame.select(F.col(f"c{i}").alias("v"))
+        .select("v", F.explode(F.array(*[F.when(inside(b), F.lit(j)) for j, b in enumerate(spans[i])])).alias("g"))
+        .where("g is not null")
+        .groupBy(F.lit(i).alias("i"), "g", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        for i in columns
     )
-    rows = ordered.select("v", F.explode(hits).alias("k")).where("k is not null").collect()
-    return {r["k"]: r["v"] for r in rows}
+    ordered = counts_below(counts, ["i", "g"], ["v"])
+    targets = [(i, spans[i].index(b), k, k - under[i][spans[i].index(b)]) for (i, k), b in brackets.items()]
+    local = spark.createDataFrame(targets, "i int, g int, k bigint, place bigint")  # one row per target
+    hit = (F.col("below") <= F.col("place")) & (F.col("place") < F.col("below") + F.col("n"))
+    rows = ordered.join(F.broadcast(local), ["i", "g"]).where(hit).select("i", "k", "v").collect()
+    return {(r["i"], r["k"]): r["v"] for r in rows}
 
 
 # -- average ranks -------------------------------------------------------------

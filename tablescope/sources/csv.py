@@ -62,28 +62,36 @@ def _known(value: Column) -> Column:
     return F.when(~value.isin(*MISSING_TOKENS), value)
 
 
-def infer_types(df: DataFrame) -> dict[str, str]:
-    """Narrowest of BIGINT, DOUBLE, BOOLEAN, STRING that fits every value."""
+def column_facts(df: DataFrame) -> dict[str, dict]:
+    """Which types fit the values of each text column; one scan.
+
+    Rows with a surplus field do not take part, except that they are counted.
+    """
 
     def make(_: str, raw: Column) -> dict[str, Column]:
-        v = _known(raw)
+        good = ref(SURPLUS).isNull()
+        v = F.when(good, _known(raw))
         whole = F.when(v.isNotNull(), v.rlike(INTEGER) & F.trim(v).try_cast("bigint").isNotNull())
         return {
             "n": F.count(v),
+            "rows": F.count_if(good),
+            "surplus": F.count_if(~good),
             "whole": F.bool_and(whole),
             "number": F.bool_and(v.rlike(NUMBER)),
             "flag": F.bool_and(v.rlike(BOOLEAN)),
         }
 
-    types = {}
-    for name, r in zip(df.columns, column_aggregates(df, df.columns, make, per_scan=32)):
-        kind = "string"
-        if r["n"] == 0 or r["number"]:
-            kind = "bigint" if r["n"] and r["whole"] else "double"
-        elif r["flag"]:
-            kind = "boolean"
-        types[name] = kind
-    return {c: types[c] for c in df.columns}
+    names = [c for c in df.columns if c != SURPLUS]
+    return dict(zip(names, column_aggregates(df, names, make, per_scan=32)))
+
+
+def narrowest_type(facts: dict) -> str:
+    """BIGINT, DOUBLE, BOOLEAN or STRING; a column without values is DOUBLE."""
+    if facts["n"] == 0:
+        return "double"
+    if facts["number"]:
+        return "bigint" if facts["whole"] else "double"
+    return "boolean" if facts["flag"] else "string"
 
 
 def read_csv_typed(
@@ -106,18 +114,19 @@ def read_csv_typed(
         raise ValueError("on_bad must be error or skip")
     used = detect_encoding(spark, path) if encoding == "auto" else encoding
     rows, names = _raw(spark, path, used, multiline)
-    surplus = rows.where(ref(SURPLUS).isNotNull())
-    if on_bad == "error" and not surplus.limit(1).isEmpty():
-        raise ValueError(f"Failed to read CSV: a row has more than {len(names)} fields")
-    text = rows.where(ref(SURPLUS).isNull()).drop(SURPLUS)
-    if text.isEmpty():
+    facts = column_facts(rows)
+    totals = next(iter(facts.values()))
+    if on_bad == "error" and totals["surplus"]:
+        raise ValueError(f"Failed to read CSV: {totals['surplus']} rows have more than {len(names)} fields")
+    if not totals["rows"]:
         raise ValueError("Uploaded file is empty")
-    types = infer_types(text)
+    text = rows.where(ref(SURPLUS).isNull()).drop(SURPLUS) if totals["surplus"] else rows.drop(SURPLUS)
     typed = []
     for raw, name in zip(text.columns, names):
+        kind = narrowest_type(facts[raw])
         value = _known(ref(raw))
-        if types[raw] != "string":
-            value = F.trim(value).try_cast(types[raw])
+        if kind != "string":
+            value = F.trim(value).try_cast(kind)
         typed.append(value.alias(name))
     return text.select(*typed)
 
