@@ -257,7 +257,7 @@ def _class_sources_sql() -> str:
                 f"max({name})::DOUBLE AS max FROM dirty"
             )
         values.append(
-            f"SELECT '{name}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {name}::VARCHAR) AS position, "
+            f"SELECT '{name}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {name}) AS position, "
             f"{name}::VARCHAR AS value, count(*) AS value_count FROM dirty WHERE {name} IS NOT NULL GROUP BY {name}"
         )
     return (

@@ -208,7 +208,7 @@ def _histogram_discrete(spark, sf):
 
 
 def _top_sql(source: str, column: str, k: int, position: str, value: str, count: str) -> str:
-    return f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, {column}::VARCHAR)::BIGINT AS {position},
+    return f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, {column})::BIGINT AS {position},
   {column}::VARCHAR AS {value}, count(*)::BIGINT AS {count} FROM {source} WHERE {column} IS NOT NULL GROUP BY {column})
 WHERE {position} <= {k}"""
 

@@ -72,6 +72,11 @@ def require_column(df: DataFrame, name: str, *, numeric: bool = False) -> None:
         raise ValueError(f"Column '{name}' must be numeric")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small result computed now, so that later rules do not repeat its jobs."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

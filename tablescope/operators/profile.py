@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tablescope.functions.columns import (
     per_column,
     percent,
     ref,
+    settled,
 )
 
 PROFILE_SCHEMA = T.StructType(
@@ -135,6 +136,7 @@ def column_profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
              f["missing_count"], f["distinct_count"], f["zero_count"], f["whole"], f["zero_one"])
         )
     local = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    # projections of a local frame need no job
     return local.select(
         "ordinal", "column_name", "dtype", "is_numeric", role().alias("role"), "rows_count",
         "missing_count", percent(F.col("missing_count"), F.col("rows_count")).alias("missing_percent"),
@@ -168,7 +170,8 @@ def high_cardinality_text(profile: DataFrame) -> DataFrame:
 
 def names_where(profile: DataFrame, condition: Column) -> list[str]:
     """Column names of a profile subset, in table order."""
-    return [r["column_name"] for r in profile.where(condition).orderBy("ordinal").collect()]
+    rows = profile.where(condition).select("ordinal", "column_name").collect()
+    return [r["column_name"] for r in sorted(rows)]
 
 
 def duplicate_count(df: DataFrame, *, broadcast_groups: int = DUPLICATE_GROUPS) -> int:
@@ -210,13 +213,15 @@ def quality_totals(df: DataFrame, profile: DataFrame, *, duplicates: int | None
         F.count(F.lit(1)).alias("columns_count"),
         F.sum("missing_count").alias("missing_total"),
     )
-    return base.select(
-        "rows_count",
-        "columns_count",
-        "missing_total",
-        percent(F.col("missing_total"), F.col("rows_count") * F.col("columns_count")).alias("missing_percent"),
-        F.lit(found).cast("bigint").alias("duplicate_rows"),
-        percent(F.lit(found), F.col("rows_count")).alias("duplicate_percent"),
+    return settled(
+        base.select(
+            "rows_count",
+            "columns_count",
+            "missing_total",
+            percent(F.col("missing_total"), F.col("rows_count") * F.col("columns_count")).alias("missing_percent"),
+            F.lit(found).cast("bigint").alias("duplicate_rows"),
+            percent(F.lit(found), F.col("rows_count")).alias("duplicate_percent"),
+        )
     )
 
 
@@ -243,22 +248,17 @@ def target_suggestions(profile: DataFrame) -> DataFrame:
     """Likely class targets: binary columns first, then fewest classes."""
     limit = F.least(F.lit(TARGET_CLASSES), F.greatest(F.lit(3), F.floor(F.col("rows_count") / 5)))
     usable = F.col("role").isin("binary", "categorical_encoded", "categorical")
-    rank = Window.orderBy(
-        F.when(F.col("role") == "binary", 0).otherwise(1), "distinct_count", F.lower("column_name"), "ordinal"
-    )
-    return (
-        profile.where(usable & F.col("distinct_count").between(2, limit))
-        # one row per table column
-        .select(F.row_number().over(rank).alias("position"), "column_name", "role", "distinct_count")
+    found = profile.where(usable & F.col("distinct_count").between(2, limit)).collect()
+    found.sort(
+        key=lambda r: (r["role"] != "binary", r["distinct_count"], r["column_name"].lower(), r["ordinal"])
     )
+    rows = [(i + 1, r["column_name"], r["role"], r["distinct_count"]) for i, r in enumerate(found)]
+    schema = "position int, column_name string, role string, distinct_count bigint"
+    return profile.sparkSession.createDataFrame(rows, schema)
 
 
 def suggested_targets(profile: DataFrame) -> list[str]:
-    return [r["column_name"] for r in target_suggestions(profile).orderBy("position").collect()]
-
-
-def value_text(df: DataFrame, name: str) -> Column:
-    return ref(name).cast("string")
+    return [r["column_name"] for r in sorted(target_suggestions(profile).collect())]
 
 
 def target_profiles(
@@ -297,4 +297,4 @@ def target_profiles(
         ),
         percent(F.first("non_missing_rows"), F.first("rows_count")).alias("coverage_percent"),
     )
-    return summary, values
+    return settled(summary), values

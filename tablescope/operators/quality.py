@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.columns import flat_columns, nan_to_null, per_column, percent, ref
+from tablescope.functions.columns import nan_to_null, per_column, percent, ref
 from tablescope.operators.profile import (
     column_profile,
     high_cardinality_text,
@@ -99,7 +99,7 @@ def quality_warnings(profile: DataFrame, totals: DataFrame, targets: DataFrame)
     ``targets`` is the summary frame of the profiled targets.
     """
     skewed = targets.where((F.col("classes_count") > 1) & (F.col("imbalance_ratio") >= IMBALANCE_RATIO))
-    imbalanced = [r["column_name"] for r in skewed.orderBy("position").collect()]
+    imbalanced = [r["column_name"] for r in sorted(skewed.collect(), key=lambda r: r["position"])]
     facts = _facts(profile, totals, len(suggested_targets(profile)), imbalanced, [])
     warn, info = F.lit("warning"), F.lit("info")
     missing_level = F.when(F.col("missing_percent") >= MISSING_WARNING_PERCENT, warn).otherwise(info)
@@ -134,8 +134,14 @@ def zero_candidates(profile: DataFrame) -> DataFrame:
     )
 
 
+def zero_columns(profile: DataFrame) -> list[str]:
+    found = F.col("is_numeric") & (F.col("role") != "binary") & (F.col("zero_count") > 0)
+    rows = profile.where(found).collect()
+    return [r["column_name"] for r in sorted(rows, key=lambda r: (-r["zero_count"], r["ordinal"]))]
+
+
 def cleaning_recommendations(profile: DataFrame, totals: DataFrame) -> DataFrame:
-    zeros = [r["column_name"] for r in zero_candidates(profile).collect()]
+    zeros = zero_columns(profile)
     facts = _facts(profile, totals, len(suggested_targets(profile)), [], zeros)
     warn, info, c = F.lit("warning"), F.lit("info"), F.col
     return _fired(
@@ -168,8 +174,8 @@ def class_sources(df: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFra
     """
     spark = df.sparkSession
     frame = nan_to_null(df)
-    usable = profile.where("distinct_count >= 2").orderBy("ordinal")
-    rows = usable.collect()
+    usable = profile.where("distinct_count >= 2")
+    rows = sorted(usable.collect())
     names = [r["column_name"] for r in rows]
     numeric = [r["column_name"] for r in rows if r["is_numeric"]]
     cuts = exact_quantiles(frame, {c: [0.0, 0.25, 0.5, 0.75, 1.0] for c in numeric})
@@ -180,27 +186,35 @@ def class_sources(df: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFra
     )
 
     def branch(i: int, name: str) -> DataFrame:
-        return top_values(frame, name, CLASS_SOURCE_VALUES).select(F.lit(i).alias("i"), "position", "value",
-                                                                  "value_count")
-
-    found = [(names[r["i"]], r["position"], r["value"], r["value_count"]) for r in per_column(names, branch)]
+        best = top_counts(frame, name, CLASS_SOURCE_VALUES)
+        # at most CLASS_SOURCE_VALUES rows per column
+        listed = F.sort_array(F.collect_list(F.struct((-F.col("value_count")).alias("k"), "v", "value")))
+        pairs = F.transform(listed, lambda r: F.struct(r["value"].alias("value"), (-r["k"]).alias("n")))
+        return best.agg(F.lit(i).alias("i"), pairs.alias("best"))
+
+    found = [
+        (names[r["i"]], position + 1, pair["value"], pair["n"])
+        for r in per_column(names, branch)
+        for position, pair in enumerate(r["best"])
+    ]
     values = spark.createDataFrame(found, "column_name string, position int, value string, value_count bigint")
     return columns, values
 
 
-def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
-    """Most frequent values of a column as text; ties by text order."""
-    from pyspark.sql import Window
-
+def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
+    """``v, value, value_count`` of the most frequent values, in no set order."""
     counted = (
         nan_to_null(df).select(ref(column).alias("v")).where("v is not null")
         .groupBy("v").agg(F.count(F.lit(1)).alias("value_count"))
-        .select(F.col("v").cast("string").alias("value"), "value_count")
-        .orderBy(F.desc("value_count"), "value").limit(k)
     )
-    # at most k rows are left here
-    order = Window.orderBy(F.desc("value_count"), "value")
-    return counted.select(F.row_number().over(order).alias("position"), "value", "value_count")
+    return counted.orderBy(F.desc("value_count"), "v").limit(k).withColumn("value", F.col("v").cast("string"))
+
+
+def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
+    """Most frequent values of a column as text; among equals the smaller first."""
+    # at most k rows are ranked here
+    order = Window.orderBy(F.desc("value_count"), "v")
+    return top_counts(df, column, k).select(F.row_number().over(order).alias("position"), "value", "value_count")
 
 
 def drop_reasons(profile: DataFrame) -> DataFrame:
