@@ -185,9 +185,11 @@ def duplicate_count(df: DataFrame, *, broadcast_groups: int = DUPLICATE_GROUPS)
     names = [f.name for f in frame.schema.fields if not isinstance(f.dataType, T.MapType)]
     frame = frame.select(*[ref(n) for n in names])
     digest = F.xxhash64(*[ref(n) for n in names])
+    # one more than may be broadcast is enough to know that there are too many
     repeated = (
-        frame.select(digest.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").persist()
-    )
+        frame.select(digest.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .limit(broadcast_groups + 1).persist()
+    )
     try:
         groups = repeated.count()
         if groups == 0:

@@ -197,6 +197,10 @@ def rank_tables(frames: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return ordered.withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0).drop("below")
 
 
+def _lane(*values) -> Column:
+    return F.pmod(F.xxhash64(*values), F.lit(_SPREAD)).cast("int")
+
+
 class TableSize(NamedTuple):
     values: int
     rows: int
@@ -235,7 +239,7 @@ def attach_ranks(
     keys = frame.columns
     if large:
         frame = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("w"))
-        frame = frame.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(_SPREAD)).cast("int"))
+        frame = frame.withColumn("_slot", _lane(*keys))
     else:
         frame = frame.withColumn("w", F.lit(1).cast("bigint"))
     for j, c in enumerate(columns):
@@ -250,13 +254,15 @@ def attach_ranks(
         cut = sizes[labels[c]].rows * HOT_SHARE
         hot = table.where(F.col("n") >= cut).select(F.col("_v").alias("_h"), F.col("rank").alias("_hot"))
         cold = table.where(F.col("n") < cut).select(
-            F.col("_v").alias("_k"), F.lit(0).alias("_s"), F.col("rank").alias("_cold")
+            F.col("_v").alias("_k"), _lane("_v").alias("_s"), F.col("rank").alias("_cold")
         )
         frame = frame.join(F.broadcast(hot), key == F.col("_h"), "left").drop("_h")
         frame = frame.withColumns(
             {
                 "_key": F.when(F.col("_hot").isNull(), key),
-                "_lane": F.when(F.col("_hot").isNull() & key.isNotNull(), 0).otherwise(F.col("_slot") + 1),
+                # rows that are settled or missing match nothing and are spread by content;
+                # a constant here would be folded away and leave them under one NULL key
+                "_lane": F.when(F.col("_hot").isNull() & key.isNotNull(), _lane(key)).otherwise(F.col("_slot")),
             }
         )
         frame = frame.join(

@@ -126,3 +126,18 @@ def test_newest_rows_of_a_hot_group(skewed):
     for g, part in frame.groupby("g"):
         expected = part.sort_values(["b", "a"], ascending=[False, True]).head(4)["b"].tolist()
         assert [r["b"] for r in found.where(F.col("g") == g).orderBy("position").collect()] == expected
+
+
+def test_settled_rows_are_spread_in_the_shuffled_join(skewed):
+    """The join of cold values keeps both keys, so hot rows do not meet in one task."""
+    df, _ = skewed
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = ranks.rank_tables({"x": (df, "a")}).persist()
+        plan = ranks.attach_ranks(df, {"a": "x"}, tables, broadcast_rows=0)._jdf.queryExecution().executedPlan()
+        join = next(line for line in plan.toString().splitlines() if "SortMergeJoin" in line)
+        assert "_lane" in join and "_key" in join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
