@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tablescope.checks import inputs as inp
 from tablescope.checks.inputs import (
     DICTIONARY,
+    DIRTY_COLUMNS,
     DIRTY_PROFILE,
+    HIGH_CARDINALITY,
     HISTORY,
     STATES,
     SUGGESTED,
@@ -15,8 +17,7 @@ from tablescope.checks.inputs import (
     dirty,
     table,
 )
-from tablescope.checks.inputs import HIGH_CARDINALITY
-from tablescope.checks.profiling import TARGETS, WARNING_RULES
+from tablescope.checks.profiling import WARNING_RULES, target_values_sql
 from tablescope.checks.registry import query
 from tablescope.operators import catalog, features, profile, quality
 from tablescope.operators.profile import column_profile
@@ -133,7 +134,7 @@ def _dictionary_prune(spark, sf):
 
 @query(
     "target_summaries",
-    f"""WITH {DIRTY_PROFILE}, {DICTIONARY}, {SUGGESTED}, {TARGETS}
+    f"""WITH {DIRTY_PROFILE}, {DICTIONARY}, {SUGGESTED}, {target_values_sql([c for c, _ in DIRTY_COLUMNS])}
 SELECT v.column_name, v.value, v.value_count::BIGINT AS value_count, v.percent::DOUBLE AS percent,
   coalesce(t.class_description, '') AS class_description, coalesce(d.description, '') AS description
 FROM target_values v JOIN suggested s ON v.column_name = s.column_name AND s.position <= 5

@@ -90,11 +90,11 @@ def _target_suggestions(spark, sf):
 TARGET_COLUMNS = ["l_linestatus", "is_final", "l_returnflag", "l_linenumber", "l_discount", "l_tax"]
 
 
-def _target_values_sql() -> str:
+def target_values_sql(columns: list[str]) -> str:
     parts = [
         f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS value_count, "
         f"row_number() OVER (ORDER BY count(*) DESC, {c}) AS rn FROM dirty WHERE {c} IS NOT NULL GROUP BY {c}"
-        for c in TARGET_COLUMNS
+        for c in columns
     ]
     return (
         "target_counts AS (SELECT * FROM ("
@@ -113,7 +113,7 @@ target_summary AS (
     )
 
 
-TARGETS = _target_values_sql()
+TARGETS = target_values_sql(TARGET_COLUMNS)
 
 
 @query(
