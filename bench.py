@@ -1,6 +1,6 @@
 """Time the headline operations and print one JSON line.
 
-The ten operations are those the reference measures itself; every one runs
+Ten operations, from reading a CSV to comparing models; every one runs
 over the whole table.  The value is the sum of the median warm times.
 """
 

@@ -13,7 +13,6 @@ from tablescope.functions.columns import (
     column_aggregates,
     flat_columns,
     is_numeric,
-    nan_to_null,
     per_column,
     ref,
     require_column,
