@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    A folder of our own is used only when the session names none, which is
-    the case in local tests.
+    A folder of this machine is used only when the session names none and
+    driver and executors are one process, as in local tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         named = tempfile.mkdtemp(prefix="tablescope-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -33,3 +37,21 @@ def pinned(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written as a Parquet table in the shared folder and read again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `stored` that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = shared_folder(spark).rstrip("/")
+        for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            if folder.split(":", 1)[-1].lstrip("/") in name:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
