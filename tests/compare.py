@@ -65,7 +65,7 @@ if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from pyspark.sql import SparkSession
 
-    from tablescope.checks import registered
+    import __spark_entry__ as entry
 
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
@@ -77,12 +77,12 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
-    for name, (run, sql) in registered().items():
+    for name, run in entry.queries().items():
         if wanted and not any(w in name for w in wanted):
             continue
         begin = time.time()
         try:
-            problem = compare(spark, con, sf_dir, run, sql)
+            problem = compare(spark, con, sf_dir, run, entry.oracle_sql().get(name))
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:700]}"
         failed += bool(problem)
