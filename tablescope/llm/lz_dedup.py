@@ -11,8 +11,8 @@ two factors share is found as well.
 
 The index is one shuffle of the blocks: a block carries a 32-bit mark for each
 of its windows (on average 13), about 5 bytes per word.  Blocks of very frequent passages, found by counting the blocks
-of a share of the documents, go another way: their windows are aggregated and
-joined as single rows, which Spark folds before the shuffle and splits after it.
+of a share of the documents, go another way: equal occurrences are folded before
+the shuffle, and answers return by joins, which Spark splits.
 Both ways give the same windows.
 """
 
@@ -128,8 +128,7 @@ def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(marks.buffers()[2], np.uint32)[bounds[0] : bounds[-1]]
         counts = np.diff(bounds)
         inner, row = _numbered(counts), np.repeat(np.arange(len(counts)), counts)
-        place = (offsets[row] - inner).astype(np.uint64)
-        keys = mixed(block.view(np.uint64)[row] ^ mixed(values.astype(np.uint64) << np.uint64(16) | place))
+        keys = _window_keys(block.view(np.uint64)[row], offsets[row] - inner, values)
         order = np.lexsort((ids[row], keys))
         keys, own = keys[order], ids[row][order]
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -168,21 +167,84 @@ def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from factors(pa.Table.from_batches(held))
 
 
-def _frequent_windows(batches: Iterable[pa.RecordBatch], window: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _window_keys(blocks: np.ndarray, places: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Identity of a window: its block, the block's place in it, and its mark."""
+    return mixed(blocks ^ mixed(marks.astype(np.uint64) << np.uint64(16) | places.astype(np.uint64)))
+
+
+def _frequent_contexts(batches: Iterable[pa.RecordBatch], window: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Occurrences of frequent blocks: one row per document and context, which is a block with its windows."""
     for batch in sliced(batches, "text"):
         found = blocks_of(batch.column("text"), window)
         found = _chosen(found, np.isin(found.hashes, frequent))
-        inner = _numbered(found.counts)
-        rows = pa.array(np.repeat(found.rows, found.counts))
+        marks, ends = (found.windows >> np.uint64(32)).astype(np.uint32), np.cumsum(found.counts)
+        rows: dict[tuple, list[int]] = {}
+        for at, end in enumerate(ends):
+            key = (int(found.hashes[at].view(np.int64)), int(found.offsets[at]), marks[end - found.counts[at] : end].tobytes(), int(found.rows[at]))
+            rows.setdefault(key, []).append(int(found.begins[at]))
+        own = pa.array([k[3] for k in rows], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(found.windows.view(np.int64)), batch.column("id").take(rows), batch.column("tag").take(rows),
-                pa.array((np.repeat(found.begins, found.counts) + inner).astype(np.int32)),
+                *(pa.array([k[i] for k in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))),
+                batch.column("id").take(own), batch.column("tag").take(own), pa.array(list(rows.values()), pa.list_(pa.int32())),
             ],
-            names=["window", "id", "tag", "begin"],
+            names=["block", "offset", "marks", "id", "tag", "begins"],
         )
 
 
+def _context_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of every context, numbered."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [np.frombuffer(m, np.uint32) for m in batch.column("marks").to_pylist()]
+        counts = np.array([len(m) for m in marks])
+        rows, inner = np.repeat(np.arange(len(counts)), counts), _numbered(counts)
+        places = batch.column("offset").to_numpy()[rows] - inner
+        keys = _window_keys(batch.column("block").to_numpy().view(np.uint64)[rows], places, np.concatenate(marks))
+        taken = [batch.column(n).take(pa.array(rows)) for n in ("block", "offset", "marks", "first")]
+        yield pa.RecordBatch.from_arrays(
+            [*taken, pa.array(inner.astype(np.int32)), pa.array(keys.view(np.int64))], names=["block", "offset", "marks", "first", "number", "window"]
+        )
+
+
+def _context_factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows whose smallest document is smaller than the row's."""
+    for batch in batches:
+        out = []
+        for at, (own, least, begins) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("id", "least", "begins")), strict=True)):
+            again = np.flatnonzero(np.concatenate([[False], np.array(least, np.int64) < own, [False]]))
+            edges = np.flatnonzero(np.diff(again, prepend=-9, append=again[-1] + 9 if len(again) else 0) != 1) if len(again) else []
+            for first, after in zip(edges, edges[1:], strict=False):
+                out += [(at, begin + int(again[first]) - 1, int(after - first)) for begin in begins]
+        rows = pa.array([o[0] for o in out], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(rows), batch.column("tag").take(rows), *(pa.array([o[i] for o in out], pa.int32()) for i in (1, 2))],
+            names=["id", "tag", "begin", "windows"],
+        )
+
+
+def _often(rows: DataFrame, window: int, frequent: np.ndarray) -> DataFrame:
+    """Factors around frequent blocks, from aggregates and joins that Spark can split.
+
+    Equal occurrences are folded to contexts, contexts give each window's
+    smallest document, and these go back to the documents by context.
+    """
+    context = ["block", "offset", "marks"]
+    schema = "block long, offset int, marks binary, id long, tag long, begins array<int>"
+    held = stored(rows.mapInArrow(lambda it: _frequent_contexts(it, window, frequent), schema), "lz-frequent")
+    contexts = stored(held.groupBy(*context).agg(F.min("id").alias("first")), "lz-contexts")
+    schema = "block long, offset int, marks binary, first long, number int, window long"
+    windows = contexts.mapInArrow(_context_windows, schema)
+    least = stored(windows.groupBy("window").agg(F.min("first").alias("least")), "lz-windows")
+    known = windows.join(least, "window").groupBy(*context).agg(F.sort_array(F.collect_list(F.struct("number", "least"))).alias("w"))
+    known = stored(known.select(*context, F.col("w.least").alias("least")), "lz-known")
+    again = held.join(known, context).filter(F.array_min("least") < F.col("id")).select("id", "tag", "begins", "least")
+    found = stored(again.mapInArrow(_context_factors, "id long, tag long, begin int, windows int"), "lz-again")
+    discard(held, contexts, least, known)
+    return found
+
+
 def _block_counts(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
         found, counts = np.unique(blocks_of(batch.column("text"), window).hashes, return_counts=True)
@@ -228,11 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = rows.mapInArrow(lambda it: _index(it, window, frequent), "block long, id long, tag long, begin int, offset int, marks binary")
     found = index.repartition("block").sortWithinPartitions("block").mapInArrow(_factors, "id long, tag long, begin int, windows int")
     if len(frequent):
-        schema = "window long, id long, tag long, begin int"
-        often = rows.mapInArrow(lambda it: _frequent_windows(it, window, frequent), schema)
-        first = stored(often.groupBy("window").agg(F.min("id").alias("least")), "lz-windows")
-        again = often.join(first, "window").filter("id > least")
-        found = found.unionByName(again.select("id", "tag", "begin", F.lit(1).alias("windows")))
+        found = found.unionByName(_often(rows, window, frequent))
     # repeated rows give the same runs
     runs = stored(found.groupBy("id", "tag").agg(F.collect_set(F.struct("begin", "windows")).alias("_runs")), "lz-runs")
     marked = docs.withColumns({f"_{n}": c for n, c in key.items()}).join(
