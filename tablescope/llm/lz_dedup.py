@@ -209,14 +209,14 @@ def _context_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _context_factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows whose smallest document is smaller than the row's."""
+    """Runs of windows whose smallest document is smaller than the row's; runs that touch are one."""
     for batch in batches:
         out = []
         for at, (own, least, begins) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("id", "least", "begins")), strict=True)):
             again = np.flatnonzero(np.concatenate([[False], np.array(least, np.int64) < own, [False]]))
             edges = np.flatnonzero(np.diff(again, prepend=-9, append=again[-1] + 9 if len(again) else 0) != 1) if len(again) else []
-            for first, after in zip(edges, edges[1:], strict=False):
-                out += [(at, begin + int(again[first]) - 1, int(after - first)) for begin in begins]
+            runs = [(begin + int(again[first]) - 1, int(after - first)) for first, after in zip(edges, edges[1:], strict=False) for begin in begins]
+            out += [(at, first, end - first) for first, end in spans(runs, 1)]
         rows = pa.array([o[0] for o in out], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").take(rows), batch.column("tag").take(rows), *(pa.array([o[i] for o in out], pa.int32()) for i in (1, 2))],
