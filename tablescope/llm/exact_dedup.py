@@ -29,6 +29,11 @@ FIRST_WIDTH = 256
 WIDEST = 1 << 20
 
 
+def _merged(frame: DataFrame) -> DataFrame:
+    """The smaller side of a join that grows with the corpus: never broadcast, so plans are alike at every size."""
+    return frame.hint("merge")
+
+
 def _normalised(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Add the digest asked for in the result and, for shared heads, the bytes after the head."""
     for batch in sliced(batches, "_text"):
@@ -56,13 +61,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("_id"), *([F.struct(*docs.columns).alias("_row")] if carry else []), text.alias("_text"),
+        F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row") if carry else text.alias("_text"),
         F.octet_length(text).alias("_length"),
         F.translate(F.substring(text, 1, FIRST_CHARS), string.ascii_uppercase, string.ascii_lowercase).alias("_head"),
     )
     heads = rows.groupBy("_length", "_head").count().filter("count > 1").drop("count")
     heads = stored(heads.withColumn("_group", F.monotonically_increasing_id()), "radix-heads")
-    joined = rows.join(heads, ["_length", "_head"], "left")
+    joined = rows.join(_merged(heads), ["_length", "_head"], "left")
+    if carry:
+        joined = joined.withColumn("_text", F.coalesce(F.col("_row").getField(text_col).cast("string"), F.lit("")))
     # the original text is needed once more only inside the carried row
     names = ["_id", "_sha", "_group", "_rest"] + (["_row"] if carry else [])
     plain = {"_sha": "string", "_rest": "binary"}
@@ -87,7 +94,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "radix-classes",
         )
         state = stored(
-            step.drop("_size", "_keep").join(classes, ["_group", "_digit"], "left").select(
+            step.drop("_size", "_keep").join(_merged(classes), ["_group", "_digit"], "left").select(
                 *(c for c in step.columns if c not in ("_digit", "_group", "_size", "_keep")),
                 F.coalesce("_size", F.lit(1).cast("long")).alias("_size"),
                 F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_top._id")).alias("_keep"),

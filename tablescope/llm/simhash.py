@@ -176,4 +176,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     groups = simhash_groups(docs, id_col, text_col, shingle, bits)
     keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    keep = keep.hint("merge")  # grows with the corpus: the plan is alike at every size
     return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept"]), "left_semi")
