@@ -12,8 +12,6 @@ from its own probabilities and the K numbers of every step so far.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.session import discard, stored
 from tablescope.llm.attach import attach
+from tablescope.llm.words import split_words
 
 #: Labelled rows that the classifier is fitted on, the first by hash order.
 TRAINING_ROWS = 20_000
@@ -35,26 +34,39 @@ TOLERANCE = 1e-6
 #: Domains of the labels table and their shares of all tokens.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
-_SIGN = re.compile(r"[^\w\s]")
-
-
-def features(text: str) -> list[float]:
-    """Shape of a text and hashed word frequencies."""
-    words = text.split()
-    lines = [line for line in text.split("\n") if line]
-    n, chars = max(1, len(words)), max(1, len(text))
-    counts = Counter(words)
-    hashed = np.zeros(HASHED)
-    for word, times in counts.items():
-        hashed[xxhash.xxh64_intdigest(word) % HASHED] += times
-    signs = len(_SIGN.findall(text))
+_MARKS = b"$%&*#"
+_BYTES = {name: np.frombuffer(own, np.uint8) for name, own in {
+    "upper": bytes(range(65, 91)), "digit": b"0123456789", "bar": b"|", "call": b"!", "sign": bytes(c for c in range(33, 127) if not chr(c).isalnum()),
+}.items()}
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words, and shape and hashed word frequencies, of each text of a slice."""
+    count = len(texts)
+    offsets, words = split_words(pa.array(texts, pa.string()), lower=False)
+    sizes = np.diff(offsets)
+    n = np.maximum(1, sizes).astype(float)
+    coded = words.dictionary_encode()
+    own = coded.dictionary.cast(pa.binary()).to_pylist()
+    codes, owner = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(count), sizes)
+    bucket = np.fromiter((xxhash.xxh64_intdigest(w) % HASHED for w in own), np.int64, len(own))
+    marked = np.fromiter((w[-1] in _MARKS for w in own), float, len(own))
+    hashed = np.bincount(owner * HASHED + bucket[codes], minlength=count * HASHED).reshape(count, HASHED)
+    pairs, times = np.unique(owner * max(1, len(own)) + codes, return_counts=True)
+    holder = pairs // max(1, len(own))
+    distinct, most = np.bincount(holder, minlength=count), np.zeros(count)
+    np.maximum.at(most, holder, times)
+    bytes_of = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t in texts]).reshape(count, 256)
+    chars = np.maximum(1, bytes_of.sum(axis=1)).astype(float)
+    of = {name: bytes_of[:, places].sum(axis=1) for name, places in _BYTES.items()}
+    lines = [[line for line in t.split("\n") if line] for t in texts]
+    n_lines = np.array([len(x) for x in lines], float)
+    other = np.array([len(set(x)) for x in lines], float)
     shape = [
-        np.log1p(len(words)), len(text) / n / 10, signs / chars * 10, sum(map(str.isupper, text)) / chars,
-        sum(map(str.isdigit, text)) / chars * 10, len(counts) / n, max(counts.values(), default=0) / n,
-        np.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), text.count("|") / n, text.count("!") / n,
-        sum(w[-1] in "$%&*#" for w in words) / n,
+        np.log1p(sizes), chars / n / 10, of["sign"] / chars * 10, of["upper"] / chars, of["digit"] / chars * 10, distinct / n, most / n,
+        np.log1p(n_lines), 1 - other / np.maximum(1, n_lines), of["bar"] / n, of["call"] / n, np.bincount(owner, marked[codes], count) / n,
     ]
-    return [*map(float, shape), *np.sqrt(hashed / n).tolist()]
+    return sizes, np.concatenate([np.array(shape).T.reshape(count, len(shape)), np.sqrt(hashed / n[:, None])], axis=1)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -73,9 +85,8 @@ class Mixture:
     residual: float = 0.0
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        tokens = np.array([len(t.split()) for t in texts], float)
-        given = np.array([features(t) for t in texts]).reshape(len(texts), -1)
-        return tokens, softmax(given @ self.weights.T + self.bias) if len(texts) else np.zeros((0, len(self.domains)))
+        tokens, given = features(texts)
+        return tokens.astype(float), softmax(given @ self.weights.T + self.bias)
 
     def rates(self, tokens: np.ndarray, posterior: np.ndarray) -> np.ndarray:
         own = tokens[:, None] * posterior
@@ -109,10 +120,10 @@ def fit_classifier(
     sample = labelled.select(F.col("doc_id").alias("_id"), code.cast("double").alias("label")).filter("label >= 0 AND _id IS NOT NULL")
     sample = stored(sample.orderBy(F.xxhash64("_id"), "_id").limit(training_rows), "mixing-sample")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
-    given = attach(rows.select("label", "text"), "text", "features array<double>", lambda texts: [[features(t) for t in texts]])
+    given = attach(rows.select("label", "text"), "text", "features array<double>", lambda texts: [features(texts)[1].tolist()])
     given = stored(given.select("label", array_to_vector("features").alias("features")), "mixing-features")
     seen = {int(r.label): r["count"] for r in given.groupBy("label").count().collect()}
-    size = len(features(""))
+    size = features([""])[1].shape[1]
     weights, bias = np.zeros((len(domains), size)), np.full(len(domains), -30.0)
     for place, n in seen.items():
         bias[place] = np.log(n)
