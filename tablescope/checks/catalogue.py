@@ -17,6 +17,7 @@ from tablescope.checks.inputs import (
     dirty,
     table,
 )
+from tablescope.functions.columns import union_all
 from tablescope.checks.profiling import WARNING_RULES, target_values_sql
 from tablescope.checks.registry import query
 from tablescope.operators import catalog, features, profile, quality
@@ -268,6 +269,17 @@ def _report_overview(spark, sf):
     return report.report_overview(found, coverage, sample_info(limited, df, 5000))
 
 
+@query("summary_report")
+def _summary_report(spark, sf):
+    """All sections as rows; the sections' own queries have SQL."""
+    order = ["created_at", "event_id"]
+    recent = catalog.current_history(inp.history(spark, sf), "9", path="$.k", order=order)
+    saved = catalog.current_states(inp.states(spark, sf), "9", path="$.k", order=["updated_at", "event_id"])
+    sections = report.summary_report(dirty(spark, sf), inp.dictionary(spark), recent, saved)
+    parts = [f.select(F.lit(n).alias("section"), F.to_json(F.struct("*")).alias("content")) for n, f in sections.items()]
+    return union_all(parts)
+
+
 # -- modelling choices ----------------------------------------------------------
 
 CLASSES = "(role IN ('binary', 'categorical', 'categorical_encoded') AND distinct_count BETWEEN 2 AND 20)"

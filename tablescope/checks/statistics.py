@@ -107,6 +107,26 @@ def _preview(spark, sf):
     )
 
 
+TIED = """SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM (
+  SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders
+  ORDER BY o_orderstatus, o_custkey, o_orderkey, o_orderpriority, o_totalprice LIMIT 700)"""
+
+
+def _tied(spark, sf, top_rows):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return rows.limit_rows(orders, 700, ["o_orderstatus"], top_rows=top_rows)
+
+
+@query("row_limit_tied", TIED)
+def _row_limit_tied(spark, sf):
+    return _tied(spark, sf, rows.TOP_ROWS)
+
+
+@query("row_limit_tied_by_cut", TIED)
+def _row_limit_tied_by_cut(spark, sf):
+    return _tied(spark, sf, 50)
+
+
 @query("row_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def _row_limit(spark, sf):
     return rows.limit_rows(table(spark, sf, "orders"), "100", ["o_orderkey"]).select("o_orderkey", "o_totalprice")
@@ -260,6 +280,18 @@ def _numeric_pair(spark, sf):
     return corr.numeric_pair(dirty(spark, sf), "l_extendedprice", "l_tax")
 
 
+@query(
+    "numeric_text",
+    """SELECT o_totalprice AS x, CASE o_orderkey % 7 WHEN 4 THEN o_totalprice WHEN 5 THEN 12.5 WHEN 6 THEN 1000.0 END::DOUBLE AS y
+FROM orders WHERE o_orderkey % 7 > 3""",
+)
+def _numeric_text(spark, sf):
+    """Texts that some casts would take as numbers are missing."""
+    odd = F.array(F.lit("1d"), F.lit("2f"), F.lit("0x1"), F.lit("  "), F.col("o_totalprice").cast("string"), F.lit(" 12.5 "), F.lit("1e3"))
+    orders = table(spark, sf, "orders").withColumn("text", F.get(odd, (F.col("o_orderkey") % 7).cast("int")))
+    return corr.numeric_pair(orders, "o_totalprice", "text")
+
+
 def _pearson_sql(x: str, y: str) -> str:
     return (
         f"SELECT '{x}' AS x, '{y}' AS y, corr({y}::DOUBLE, {x}::DOUBLE) AS r, count(*) AS n, "

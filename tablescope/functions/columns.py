@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 #: Every character that counts as white space around a text.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
+#: Texts that are numbers; casts alone would also take "1d" or "2f".
+NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
 FRACTIONAL = (T.FloatType, T.DoubleType)
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
@@ -46,13 +49,31 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def as_double(df: DataFrame, name: str) -> Column:
     """Numeric reading of a column: text that is not a number becomes NULL."""
     data_type = df.schema[name].dataType
-    value = ref(name) if is_numeric(data_type) else ref(name).cast("string").try_cast("double")
+    text = ref(name).cast("string")
+    value = ref(name) if is_numeric(data_type) else F.when(text.rlike(NUMBER), text.try_cast("double"))
     if isinstance(data_type, T.BooleanType):
         value = ref(name).cast("int")
     value = value.cast("double")
     return F.when(~F.isnan(value), value)
 
 
+def comparable(df: DataFrame) -> list[Column]:
+    """Every column in a form that can be grouped and compared: maps as sorted entries."""
+    return [
+        F.array_sort(F.map_entries(ref(f.name))).alias(f.name) if isinstance(f.dataType, T.MapType) else ref(f.name)
+        for f in df.schema.fields
+    ]
+
+
+def known_names(available: Iterable[str], asked: Sequence) -> tuple[list[str], list[str]]:
+    """Asked names, trimmed and once each: those available and those not."""
+    if not isinstance(asked, (list, tuple)):
+        raise TypeError("Names must be a list")
+    there = set(available)
+    clean = dict.fromkeys(name for name in (str(item).strip() for item in asked) if name)
+    return [n for n in clean if n in there], [n for n in clean if n not in there]
+
+
 def stripped(text: Column) -> Column:
     """Text without white space of any kind at both ends."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -118,20 +139,13 @@ def column_aggregates(
     return [rows[i] for i in range(len(columns))]
 
 
-def top_n_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: int = 64
-) -> DataFrame:
-    """First ``n`` rows of every group, also when one group holds most rows.
+def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """First ``n`` rows of every group.
 
-    The rows of a group are first ranked inside ``spread`` content-hashed
-    slices and only the first ``n`` of each slice meet in the final ranking,
-    so no task ever sorts a whole hot group.
+    Spark keeps at most ``n`` rows of a group per task before the shuffle, so a
+    hot group reaches its final task as ``n`` rows of each task.
     """
     from pyspark.sql import Window
 
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(spread)))
-    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    outer = Window.partitionBy(*keys).orderBy(*order)
-    best = sliced.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= n)
-    best = best.drop("_slice").withColumn("_rn", F.row_number().over(outer))
-    return best.where(F.col("_rn") <= n).withColumnRenamed("_rn", "position")
+    ranked = df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("position") <= n)

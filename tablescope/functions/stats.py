@@ -29,16 +29,20 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(varies, clip_unit(defined(ratio)))
 
 
+#: Upper limits of the absolute coefficient for each word.
+STRENGTHS = ((0.1, "none"), (0.3, "weak"), (0.5, "moderate"), (0.7, "noticeable"), (float("inf"), "strong"))
+
+
+def strength_word(coefficient: float) -> str:
+    return next(word for limit, word in STRENGTHS if abs(coefficient) < limit)
+
+
 def strength(coefficient: Column) -> Column:
     """Verbal strength of a correlation coefficient."""
-    size = F.abs(coefficient)
-    return (
-        F.when(size < 0.1, "none")
-        .when(size < 0.3, "weak")
-        .when(size < 0.5, "moderate")
-        .when(size < 0.7, "noticeable")
-        .otherwise("strong")
-    )
+    words = F.lit(STRENGTHS[-1][1])
+    for limit, word in reversed(STRENGTHS[:-1]):
+        words = F.when(F.abs(coefficient) < limit, word).otherwise(words)
+    return F.when(coefficient.isNull(), STRENGTHS[-1][1]).otherwise(words)
 
 
 def fit_quality(r2: Column) -> Column:

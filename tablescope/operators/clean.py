@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
+    comparable,
     column_aggregates,
     flat_columns,
     is_numeric,
@@ -51,7 +53,13 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """One row per distinct row; copies are folded before the shuffle."""
-    return nan_to_null(df).dropDuplicates()
+    rows = nan_to_null(df)
+    maps = {f"_key{i}": c for i, (f, c) in enumerate(zip(rows.schema.fields, comparable(rows))) if isinstance(f.dataType, MapType)}
+    if not maps:
+        return rows.dropDuplicates()
+    keyed = rows.withColumns(maps)
+    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
+    return keyed.dropDuplicates([*plain, *maps]).drop(*maps)
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -163,7 +171,7 @@ def clean(
         copies = duplicate_count(current)
         if copies:
             changes.append(("drop_duplicate_rows", "", copies))
-            current = current.dropDuplicates()
+            current = drop_duplicates(current)
             if strategy != "none":
                 current = pinned(current)
 

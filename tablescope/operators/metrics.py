@@ -14,36 +14,45 @@ def _ratio(a, b):
     return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
 
-def confusion_matrix(
-    df: DataFrame, label: str, prediction: str, labels: Sequence[str] | None = None
-) -> DataFrame:
-    """``label, prediction, rows_count`` over the given labels, or over all
-    labels seen on either side."""
-    pairs = df.groupBy(
+def confusion_pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``label, prediction, rows_count`` of the pairs that occur."""
+    return df.groupBy(
         ref(label).cast("string").alias("label"), ref(prediction).cast("string").alias("prediction")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    # one row per class: the grid is classes x classes
+    ).agg(F.count(F.lit(1)).alias("rows_count"))
+
+
+def full_matrix(pairs: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """All pairs of the given labels, or of the labels seen on either side, with 0 where none occurs.
+
+    A view for reading, classes x classes rows; metrics don't need it.
+    """
     names = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
     if labels is not None:
-        names = df.sparkSession.createDataFrame([(c,) for c in labels], "c string")
-    grid = (
-        names.agg(F.sort_array(F.collect_list("c")).alias("all"))
-        .select(F.explode("all").alias("label"), "all")
-        .select("label", F.explode("all").alias("prediction"))
-    )
+        names = pairs.sparkSession.createDataFrame([(c,) for c in labels], "c string")
+    grid = names.select(F.col("c").alias("label")).crossJoin(names.select(F.col("c").alias("prediction")))
     return grid.join(pairs, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).alias("rows_count")
+        "label", "prediction", F.coalesce("rows_count", F.lit(0)).alias("rows_count")
     )
 
 
+def confusion_matrix(
+    df: DataFrame, label: str, prediction: str, labels: Sequence[str] | None = None
+) -> DataFrame:
+    return full_matrix(confusion_pairs(df, label, prediction), labels)
+
+
 def per_class_metrics(confusion: DataFrame) -> DataFrame:
-    """``label, precision, recall, f1, support``; an empty class scores 0."""
+    """``label, precision, recall, f1, support``; an empty class scores 0.  Takes pairs or the full matrix."""
     hit = F.col("label") == F.col("prediction")
     true_side = confusion.groupBy("label").agg(
         F.sum("rows_count").alias("support"), F.sum(F.when(hit, F.col("rows_count")).otherwise(0)).alias("hits")
     )
     predicted = confusion.groupBy(F.col("prediction").alias("label")).agg(F.sum("rows_count").alias("predicted"))
-    scored = true_side.join(predicted, "label").select(
+    zero = F.lit(0).cast("bigint")
+    both = true_side.join(predicted, "label", "full").withColumns(
+        {c: F.coalesce(c, zero) for c in ("support", "hits", "predicted")}
+    )
+    scored = both.select(
         "label", "support", "hits", "predicted",
         _ratio("hits", "predicted").alias("precision"), _ratio("hits", "support").alias("recall"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.columns import (
+    comparable,
     FRACTIONAL,
     column_aggregates,
     flat_columns,
@@ -182,8 +183,8 @@ def duplicate_count(df: DataFrame, *, broadcast_groups: int = DUPLICATE_GROUPS)
     when the candidate digests are few enough to broadcast.
     """
     frame = nan_to_null(df)
-    names = [f.name for f in frame.schema.fields if not isinstance(f.dataType, T.MapType)]
-    frame = frame.select(*[ref(n) for n in names])
+    frame = frame.select(*comparable(frame))
+    names = frame.columns
     digest = F.xxhash64(*[ref(n) for n in names])
     # one more than may be broadcast is enough to know that there are too many
     repeated = (

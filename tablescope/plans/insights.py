@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tablescope.functions.stats import strength_word
+
 INSIGHTS = "position int, code string, subject string, detail string, value double"
 CLASS_IMBALANCE = 3
 
@@ -15,19 +17,11 @@ def _rows(spark, rows) -> DataFrame:
     return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], INSIGHTS)
 
 
-def _strength_word(value: float) -> str:
-    size = abs(value)
-    for limit, word in ((0.1, "none"), (0.3, "weak"), (0.5, "moderate"), (0.7, "noticeable")):
-        if size < limit:
-            return word
-    return "strong"
-
-
 def correlation_insights(x: str, y: str, result: DataFrame, extremes: DataFrame) -> DataFrame:
     """Direction and strength, then the groups with extreme means."""
     r, e = result.first(), extremes.first()
     direction = "direct" if r["coefficient"] > 0 else "inverse"
-    rows = [("relation", f"{x} ~ {y}", f"{_strength_word(r['coefficient'])} {direction}", r["coefficient"])]
+    rows = [("relation", f"{x} ~ {y}", f"{strength_word(r['coefficient'])} {direction}", r["coefficient"])]
     if e and e["lowest_label"] is not None:
         rows.append(("highest_group", y, e["highest_label"], e["highest_y"]))
         rows.append(("lowest_group", y, e["lowest_label"], e["lowest_y"]))

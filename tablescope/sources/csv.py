@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.columns import column_aggregates, ref
+from tablescope.functions.columns import NUMBER, column_aggregates, ref
 
 #: Fixed list of texts that mean "missing".
 MISSING_TOKENS = (
@@ -16,7 +16,6 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
-NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
 SURPLUS = "_surplus_field"
 
@@ -39,6 +38,15 @@ def header_names(fields: Sequence[str | None]) -> list[str]:
     return names
 
 
+def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether some quoted field goes on over a line break; one pass."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    facts = spark.read.text(path).agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("other"), F.bool_or(quotes % 2 == 1).alias("open")
+    ).first()
+    return "ISO-8859-1" if facts["other"] else "UTF-8", bool(facts["open"])
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line is not valid UTF-8, then ISO-8859-1."""
     lines = spark.read.text(path)
@@ -58,6 +66,14 @@ def _raw(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tupl
     return rows, names
 
 
+def _opened(spark: SparkSession, path: str, encoding: str, multiline: bool | None) -> tuple[DataFrame, list[str]]:
+    if encoding == "auto" or multiline is None:
+        found, broken = detect_layout(spark, path)
+        encoding = found if encoding == "auto" else encoding
+        multiline = broken if multiline is None else multiline
+    return _raw(spark, path, encoding, multiline)
+
+
 def _known(value: Column) -> Column:
     return F.when(~value.isin(*MISSING_TOKENS), value)
 
@@ -100,20 +116,21 @@ def read_csv_typed(
     *,
     encoding: str = "auto",
     on_bad: str = "error",
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Read a CSV file with a header line and infer column types from all rows.
 
     A row with too few fields is padded with missing values.  One with too
     many is an error (``on_bad="error"``) or is left to ``bad_records``
-    (``on_bad="skip"``).  For repeated analysis store the result as Parquet.
+    (``on_bad="skip"``).  Quoted line breaks are found by counting quotes per
+    line unless ``multiline`` says whether there are any; such a file is read
+    whole by one task, others are split.  For repeated analysis store the result as Parquet.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError("Only CSV files are supported")
     if on_bad not in ("error", "skip"):
         raise ValueError("on_bad must be error or skip")
-    used = detect_encoding(spark, path) if encoding == "auto" else encoding
-    rows, names = _raw(spark, path, used, multiline)
+    rows, names = _opened(spark, path, encoding, multiline)
     facts = column_facts(rows)
     totals = next(iter(facts.values()))
     if on_bad == "error" and totals["surplus"]:
@@ -132,10 +149,9 @@ def read_csv_typed(
 
 
 def bad_records(
-    spark: SparkSession, path: str, *, encoding: str = "auto", multiline: bool = False
+    spark: SparkSession, path: str, *, encoding: str = "auto", multiline: bool | None = None
 ) -> DataFrame:
     """Rows with more fields than the header, as text, with the first surplus field."""
-    used = detect_encoding(spark, path) if encoding == "auto" else encoding
-    rows, names = _raw(spark, path, used, multiline)
+    rows, names = _opened(spark, path, encoding, multiline)
     found = rows.where(ref(SURPLUS).isNotNull())
     return found.toDF(*names, SURPLUS)

@@ -234,7 +234,7 @@ def test_class_sources_and_warnings(base):
 def test_compare_classification(spark):
     rows = [(20 + i, 20 + i % 8, "yes" if i % 2 else "no", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "age int, bmi int, smoker string, target int")
-    found = modeling.compare_models(df, "target", num_trees=5, max_depth=4)
+    found = modeling.compare_models(df, "target")
     assert found["metrics"].count() == 2 and found["rows"].first()[:] == (32, 8)
     assert found["importance"].first()["feature"] == "smoker"
     best = found["metrics"].agg(F.max("balanced_accuracy")).first()[0]
@@ -247,7 +247,7 @@ def test_compare_regression_imputes(spark):
     rows = [(80, 2, "a", 100), (95, 2, "a", 115), (110, None, "a", 128), (140, 3, "b", 150), (160, 3, "b", 170),
             (190, 4, None, 205), (210, 4, "c", 230), (240, 5, "c", 260), (260, 5, "d", 280), (300, 6, "d", 320)]
     df = spark.createDataFrame(rows, "area int, rooms int, district string, price int")
-    found = modeling.compare_models(df, "price", "regression", ["area", "rooms", "district"], num_trees=5, max_depth=3)
+    found = modeling.compare_models(df, "price", "regression", ["area", "rooms", "district"])
     assert found["preprocessing"].count() == 2 and "rmse" in found["metrics"].columns
     assert found["metrics"].count() == 2 and found["target_summary"].first()["median"] == 187.5
 
@@ -272,3 +272,23 @@ def test_metrics_with_unpredicted_class(spark):
     assert row["accuracy"] == 0.5
     assert row["balanced_accuracy"] == pytest.approx(0.5)
     assert row["precision_macro"] == pytest.approx((1 + 1 / 3) / 3)
+
+
+def test_duplicates_tell_maps_apart(spark):
+    from tablescope.operators.clean import clean, drop_duplicates
+    from tablescope.operators.profile import duplicate_count
+
+    rows = [(1, {"a": 1, "b": 2}), (1, {"b": 2, "a": 1}), (1, {"a": 3})]
+    df = spark.createDataFrame(rows, "k int, m map<string, int>")
+    assert duplicate_count(df) == 1 and drop_duplicates(df).count() == 2
+    assert clean(df, drop_duplicate_rows=True)[0].count() == 2
+
+
+def test_depth_and_empty_ranges_are_errors(spark):
+    from tablescope.operators.classes import suggest_class_rules
+
+    df = spark.createDataFrame([(i, i % 2) for i in range(20)], "f int, t int")
+    with pytest.raises(ValueError, match="levels deep"):
+        modeling.compare_models(df, "t", max_depth=31)
+    with pytest.raises(ValueError, match="no values"):
+        suggest_class_rules(spark.createDataFrame([(None,)], "x double"), "x")

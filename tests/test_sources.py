@@ -95,3 +95,12 @@ def test_state_of_another_dataset_is_hidden(spark):
         UNION ALL SELECT 'u', 'k', '{"dataset_id": "2"}', timestamp'2024-01-02'"""
     )
     assert catalog.current_states(states, "1").count() == 0 and catalog.current_states(states, "2").count() == 1
+
+
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    from tablescope.sources.csv import read_csv_typed
+
+    path = tmp_path / "broken.csv"
+    path.write_text('a,b,c\n1,"two\nlines",3\n2,plain,4\n')
+    rows = read_csv_typed(spark, str(path)).orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines", 3), (2, "plain", 4)]
