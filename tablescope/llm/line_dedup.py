@@ -166,7 +166,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = stored(gone.groupBy("id", "tag").agg(F.collect_set("line").alias("_gone")), "lines-removed")
     discard(lines, first, links, own)
     marked = docs.withColumns({f"_{n}": c for n, c in key.items()}).join(
-        gone.withColumnsRenamed({"id": "_id", "tag": "_tag"}), ["_id", "_tag"], "left"
+        gone.withColumnsRenamed({"id": "_id", "tag": "_tag"}).hint("merge"), ["_id", "_tag"], "left"
     ).select(*docs.columns, "_gone")
 
     def cut(texts: list[str], gone: list) -> list[list]:
