@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablescope.checks.inputs import (
     CUSTOMER_PROFILE,
     DIRTY,
@@ -14,6 +16,7 @@ from tablescope.checks.inputs import (
     table,
 )
 from tablescope.checks.registry import query, rounded
+from tablescope.functions.columns import union_all
 from tablescope.operators import classes, clean, profile, quality
 from tablescope.operators.profile import column_profile
 
@@ -214,6 +217,57 @@ def _cleaning_recommendations(spark, sf):
     return rows.select("code", "level", "columns", "affected", "percent")
 
 
+def _single(condition: str, rules: str, source: str, code: str, level: str, columns: str = "") -> str:
+    return (
+        f"SELECT '{rules}' AS rules, '{source}' AS source, 1::BIGINT AS position, '{code}' AS code, '{level}' AS level, "
+        f"'{columns}' AS columns, {int(bool(columns))}::BIGINT AS affected, 0.0::DOUBLE AS percent, "
+        f"'{quality.MESSAGES[code]}' AS message FROM facts WHERE {condition}"
+    )
+
+
+RARE_RULES = " UNION ALL ".join(
+    [
+        _single("even < 5", "warnings", "even", "ok", "ok"),
+        _single("numbers > 20", "warnings", "numbers", "no_target", "warning"),
+        _single("skewed >= 5", "warnings", "skewed", "class_imbalance", "warning", "kind"),
+        _single("even < 5", "recommendations", "even", "ok", "ok"),
+        _single("numbers > 20", "recommendations", "numbers", "no_target", "warning"),
+        _single("skewed >= 5", "recommendations", "skewed", "ok", "ok"),
+    ]
+)
+
+
+@query(
+    "rare_rules",
+    f"""WITH facts AS (SELECT
+  (SELECT max(n)::DOUBLE / min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)) AS even,
+  (SELECT count(DISTINCT o_totalprice) FROM orders) AS numbers,
+  (SELECT max(n)::DOUBLE / min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey % 10 = 0)) AS skewed)
+{RARE_RULES}""",
+)
+def _rare_rules(spark, sf):
+    """Tables on which only class_imbalance, only no_target or no rule at all fires."""
+    # keys begin at 0, which would fire the rule for zeros
+    orders = table(spark, sf, "orders").withColumn("key", F.col("o_orderkey") + 1)
+    kind = F.when(F.col("o_orderkey") % 10 == 0, "rare").otherwise("usual").alias("kind")
+    tables = {
+        "even": orders.select("key", "o_orderpriority"),
+        "numbers": orders.select("key", "o_totalprice"),
+        "skewed": orders.select("key", kind),
+    }
+    parts = []
+    for source, df in tables.items():
+        found = column_profile(df)
+        totals = profile.quality_totals(df, found)
+        summary, _ = profile.target_profiles(df, found)
+        fired = {
+            "warnings": quality.quality_warnings(found, totals, summary),
+            "recommendations": quality.cleaning_recommendations(found, totals),
+        }
+        parts += [rows.select(F.lit(r).alias("rules"), F.lit(source).alias("source"), "*") for r, rows in fired.items()]
+    return union_all(parts)
+
+
 @query(
     "cleaning_plan",
     f"""WITH {DIRTY_PROFILE}, {TOTALS}

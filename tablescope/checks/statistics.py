@@ -310,16 +310,16 @@ def _spearman_sql(x: str, y: str) -> str:
     )
 
 
-def _pairs(pair_sql, left: list[str], right: list[str]) -> str:
-    return f"WITH {DIRTY}, pairs AS (" + " UNION ALL ".join(pair_sql(a, b) for a in left for b in right) + ")"
+def _pairs(pair_sql, left: list[str], right: list[str], source: str = DIRTY) -> str:
+    return f"WITH {source}, pairs AS (" + " UNION ALL ".join(pair_sql(a, b) for a in left for b in right) + ")"
 
 
 MATRIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant", "l_linenumber"]
 
 
-def _matrix_sql(pair_sql) -> str:
-    place = "CASE {} " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(MATRIX)) + " END::BIGINT"
-    return f"""{_pairs(pair_sql, MATRIX, MATRIX)}
+def _matrix_sql(pair_sql, columns: list[str] = MATRIX, source: str = DIRTY) -> str:
+    place = "CASE {} " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(columns)) + " END::BIGINT"
+    return f"""{_pairs(pair_sql, columns, columns, source)}
 SELECT {place.format('x')} AS row_position, x AS row_name, {place.format('y')} AS column_position, y AS column_name,
   round(CASE WHEN varies THEN r ELSE 0.0 END, 4) AS value FROM pairs"""
 
@@ -334,6 +334,22 @@ def _corr_matrix_spearman(spark, sf):
     return corr.correlation_matrix(dirty(spark, sf), "spearman", columns=MATRIX)
 
 
+GAPPY = """dirty AS (SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END AS quantity,
+  CASE WHEN l_partkey % 4 <> 0 THEN l_extendedprice END AS price,
+  CASE WHEN l_suppkey % 5 <> 0 THEN l_discount END AS discount, l_tax FROM lineitem)"""
+
+
+@query("corr_matrix_spearman_gaps", _matrix_sql(_spearman_sql, ["quantity", "price", "discount", "l_tax"], GAPPY))
+def _corr_matrix_spearman_gaps(spark, sf):
+    """Three columns with gaps of their own: every pair has its own complete rows and ranks."""
+    gappy = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 != 0, F.col("l_quantity")).alias("quantity"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_discount")).alias("discount"), "l_tax",
+    )
+    return corr.correlation_matrix(gappy, "spearman")
+
+
 @query(
     "corr_matrix_wide",
     _pairs(_pearson_sql, MATRIX[:3], MATRIX[:3]).replace("pairs AS (", "pairs AS MATERIALIZED (")

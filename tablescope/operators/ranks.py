@@ -68,11 +68,12 @@ def exact_quantiles(
     """
     columns = list(wanted)
     frame = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    facts = column_aggregates(frame, frame.columns, lambda _, v: {"n": F.count(v)})
+    facts = column_aggregates(frame, frame.columns, lambda _, v: {"n": F.count(v), "low": F.min(v), "high": F.max(v)})
     size = [r["n"] for r in facts]
-    places = [_places(n, wanted[c]) for n, c in zip(size, columns)]
-    found: list[dict[int, float]] = [{} for _ in columns]
-    small = [i for i, n in enumerate(size) if 0 < n <= one_task_rows]
+    # both ends are known from the first scan; only places between them are searched
+    found: list[dict[int, float]] = [{0: r["low"], r["n"] - 1: r["high"]} if r["n"] else {} for r in facts]
+    places = [[k for k in _places(n, wanted[c]) if k not in ends] for n, c, ends in zip(size, columns, found)]
+    small = [i for i, n in enumerate(size) if places[i] and n <= one_task_rows]
 
     def direct(_, i: int) -> DataFrame:
         ordered = frame.agg(F.sort_array(F.collect_list(f"c{i}")).alias("a"))
@@ -80,8 +81,8 @@ def exact_quantiles(
         return ordered.select(F.lit(i).alias("i"), picked.alias("v"))
 
     for row in per_column(small, direct) if small else []:
-        found[row["i"]] = dict(zip(places[row["i"]], row["v"]))
-    large = [i for i, n in enumerate(size) if n > one_task_rows]
+        found[row["i"]].update(zip(places[row["i"]], row["v"]))
+    large = [i for i, n in enumerate(size) if places[i] and n > one_task_rows]
     if large:
         brackets = _brackets(frame, {i: size[i] for i in large}, places, min(one_task_rows, 200_000))
         found_large = _search(frame, {(i, k): brackets[i, k] for i in large for k in places[i]})
