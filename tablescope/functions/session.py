@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,36 @@ def discard(*tables: DataFrame) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             if folder.split(":", 1)[-1].lstrip("/") in name:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Plans in which a branch per column reads only that column, or rows held locally.
+_CHEAP = re.compile(r"[\s:+-]*(Project\b|Filter\b|Relation .*(parquet|orc)$|InMemoryRelation\b|LocalRelation\b|LogicalRDD\b|Range\b)")
+
+
+def is_columnar(df: DataFrame) -> bool:
+    """Whether the plan is a bare scan of columns, with at most filters and expressions above it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    lines = [line for line in plan.toString().splitlines() if line.strip()]
+    own = next((i for i, line in enumerate(lines) if "InMemoryRelation" in line), len(lines) - 1)
+    return all(_CHEAP.match(line) for line in lines[: own + 1])
+
+
+@contextmanager
+def columnar(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows in a form whose columns can be read one by one, for the time of a `with` block.
+
+    Statistics read a table once per column or more.  A text source, a union or
+    any computed table is written once to the shared folder instead, and removed
+    at the end; results must be computed inside the block.  Types that Parquet
+    can't hold leave the table as it is.
+    """
+    kinds = df.schema.simpleString()
+    if is_columnar(df) or "void" in kinds or "interval" in kinds:
+        yield df
+        return
+    names = [f"c{i}" for i in range(len(df.columns))]
+    held = stored(df.toDF(*names), "columns")
+    try:
+        yield held.toDF(*df.columns)
+    finally:
+        discard(held)

@@ -18,12 +18,15 @@ from tablescope.functions.columns import (
     per_column,
     ref,
 )
-from tablescope.functions.session import pinned
+from tablescope.functions.session import discard, pinned
 from tablescope.operators.profile import (
+    DUPLICATE_GROUPS,
     column_profile,
-    duplicate_count,
+    count_copies,
     is_high_cardinality,
     names_where,
+    repeated_digests,
+    row_digest,
 )
 from tablescope.operators.ranks import exact_quantiles
 
@@ -52,8 +55,26 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
+    """One row per distinct row.
+
+    Only digests are counted over all rows; rows without a repeated one stay
+    where they are, and the others alone are compared in full.
+    """
+    return _distinct(nan_to_null(df), *repeated_digests(df))
+
+
+def _distinct(rows: DataFrame, repeated: DataFrame, groups: int, *, broadcast_groups: int = DUPLICATE_GROUPS) -> DataFrame:
+    """As above, given the repeated digests; too many of them to broadcast send all rows through the comparison."""
+    if not groups:
+        return rows
+    if groups > broadcast_groups:
+        return _folded(rows)
+    same, digests = row_digest(rows) == F.col("_row_digest"), F.broadcast(repeated)
+    return rows.join(digests, same, "left_anti").unionByName(_folded(rows.join(digests, same, "left_semi")))
+
+
+def _folded(rows: DataFrame) -> DataFrame:
     """One row per distinct row; copies are folded before the shuffle."""
-    rows = nan_to_null(df)
     maps = {f"_key{i}": c for i, (f, c) in enumerate(zip(rows.schema.fields, comparable(rows))) if isinstance(f.dataType, MapType)}
     if not maps:
         return rows.dropDuplicates()
@@ -168,12 +189,16 @@ def clean(
         raise ValueError("Cleaning removed all columns. Keep at least one column")
 
     if drop_duplicate_rows:
-        copies = duplicate_count(current)
+        repeated, groups = repeated_digests(current)
+        copies = count_copies(current, repeated, groups)
         if copies:
             changes.append(("drop_duplicate_rows", "", copies))
-            current = drop_duplicates(current)
+            # the lazy result reads the stored digests
+            current = _distinct(current, repeated, groups)
             if strategy != "none":
                 current = pinned(current)
+        if not copies or strategy != "none":
+            discard(repeated)
 
     if strategy == "drop_rows":
         complete = drop_incomplete(current)

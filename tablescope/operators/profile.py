@@ -20,6 +20,7 @@ from tablescope.functions.columns import (
     ref,
     settled,
 )
+from tablescope.functions.session import columnar, discard, stored
 
 PROFILE_SCHEMA = T.StructType(
     [
@@ -122,12 +123,13 @@ def column_profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
     names = flat_columns(frame)
     if not names:
         raise ValueError("The table has no columns to profile")
-    facts = {r["ordinal"]: r for r in (_exact_facts if exact else _sketched_facts)(frame, names)}
-    if not exact:
-        close = [names[o] for o, r in facts.items() if _near_an_edge(r, r["rows_count"])]
-        for row in _exact_facts(frame, close):
-            ordinal = names.index(close[row["ordinal"]])
-            facts[ordinal] = {**row, "ordinal": ordinal}
+    with columnar(frame.select(*[ref(c) for c in names])) as held:
+        facts = {r["ordinal"]: r for r in (_exact_facts if exact else _sketched_facts)(held, names)}
+        if not exact:
+            close = [names[o] for o, r in facts.items() if _near_an_edge(r, r["rows_count"])]
+            for row in _exact_facts(held, close):
+                ordinal = names.index(close[row["ordinal"]])
+                facts[ordinal] = {**row, "ordinal": ordinal}
     rows = []
     for ordinal, name in enumerate(names):
         data_type = frame.schema[name].dataType
@@ -182,26 +184,35 @@ def duplicate_count(df: DataFrame, *, broadcast_groups: int = DUPLICATE_GROUPS)
     unique are certainly unique; the others are compared in full, by semi-join
     when the candidate digests are few enough to broadcast.
     """
-    frame = nan_to_null(df)
-    frame = frame.select(*comparable(frame))
-    names = frame.columns
-    digest = F.xxhash64(*[ref(n) for n in names])
-    # one more than may be broadcast is enough to know that there are too many
-    repeated = (
-        frame.select(digest.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .limit(broadcast_groups + 1).persist()
-    )
+    repeated, groups = repeated_digests(df)
     try:
-        groups = repeated.count()
-        if groups == 0:
-            return 0
-        if groups <= broadcast_groups:
-            rows = frame.withColumn("h", digest).join(F.broadcast(repeated.select("h")), "h", "left_semi")
-            frame = rows.drop("h")
-        copies = frame.groupBy(*[ref(n) for n in names]).agg(F.count(F.lit(1)).alias("_n"))
-        return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).first()["d"]
+        return count_copies(df, repeated, groups, broadcast_groups=broadcast_groups)
     finally:
-        repeated.unpersist()
+        discard(repeated)
+
+
+def row_digest(df: DataFrame) -> Column:
+    """64-bit digest of a row without NaN; equal rows have equal digests."""
+    return F.xxhash64(*comparable(df))
+
+
+def repeated_digests(df: DataFrame) -> tuple[DataFrame, int]:
+    """Digests that more than one row has, as a stored table, and their number."""
+    frame = nan_to_null(df)
+    counted = frame.select(row_digest(frame).alias("_row_digest")).groupBy("_row_digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stored(counted.where("n > 1").select("_row_digest"), "repeated-digests")
+    return repeated, repeated.count()
+
+
+def count_copies(df: DataFrame, repeated: DataFrame, groups: int, *, broadcast_groups: int = DUPLICATE_GROUPS) -> int:
+    """Rows that repeat an earlier one, from rows with a repeated digest compared in full."""
+    if groups == 0:
+        return 0
+    frame = nan_to_null(df)
+    if groups <= broadcast_groups:
+        frame = frame.join(F.broadcast(repeated), row_digest(frame) == F.col("_row_digest"), "left_semi")
+    copies = frame.select(*comparable(frame)).groupBy(*[ref(n) for n in frame.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).first()["d"]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import nan_to_null, per_column, percent, ref
+from tablescope.functions.session import columnar
 from tablescope.operators.profile import (
     column_profile,
     high_cardinality_text,
@@ -251,9 +252,10 @@ def plan_summary(profile: DataFrame, totals: DataFrame) -> DataFrame:
 
 def cleaning_plan(df: DataFrame, profile: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything needed to decide how to clean a table."""
-    found = column_profile(df) if profile is None else profile
-    totals = quality_totals(df, found)
-    columns, values = class_sources(df, found)
+    with columnar(df) as held:
+        found = column_profile(held) if profile is None else profile
+        totals = quality_totals(held, found)
+        columns, values = class_sources(held, found)
     return {
         "profile": found,
         "totals": totals,
@@ -270,9 +272,10 @@ def cleaning_plan(df: DataFrame, profile: DataFrame | None = None) -> dict[str,
 
 def dataset_profile(df: DataFrame, *, exact: bool = True) -> dict[str, DataFrame]:
     """Column profile, totals, target profiles and warnings of one table."""
-    profile = column_profile(df, exact=exact)
-    totals = quality_totals(df, profile)
-    summary, values = target_profiles(df, profile)
+    with columnar(df) as held:
+        profile = column_profile(held, exact=exact)
+        totals = quality_totals(held, profile)
+        summary, values = target_profiles(held, profile)
     return {
         "columns": profile,
         "totals": totals,

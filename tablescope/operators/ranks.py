@@ -9,9 +9,12 @@ values and adding per-partition offsets; no window ever spans a whole column.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +24,11 @@ from tablescope.functions.session import pinned
 
 #: Largest number of rows whose quantiles one task may work out.
 ONE_TASK_ROWS = 1_000_000
-#: Largest rank table (distinct values) that is sent to every executor.
+#: Largest number of rank table rows (distinct values, all columns together) sent to every executor.
 BROADCAST_ROWS = 1_000_000
 #: A value holding at least this share of the rows is handled by broadcast;
-#: at most 1/HOT_SHARE such values can exist.
-HOT_SHARE = 0.001
+#: at most 1/HOT_SHARE such values can exist, and no other one fills a join task.
+HOT_SHARE = 0.00001
 _SPREAD = 1024
 
 
@@ -33,25 +36,48 @@ def counts_below(counts: DataFrame, group: Sequence[str], value: Sequence[str])
     """Add ``below``: the rows of the group with a smaller value.
 
     ``counts`` has one row per (group, value) and the number of rows in ``n``.
+    The only shuffle is the one by range: running sums are carried along the
+    sorted rows of each partition.
     """
     keys = [*group, *value]
-    ranged = pinned(counts.repartitionByRange(*keys)).withColumn("_part", F.spark_partition_id())
+    ordered = counts.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*counts.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_inside", T.LongType())])
+    ranged = pinned(ordered.mapInArrow(lambda batches: _running(batches, list(group)), schema))
     totals = ranged.groupBy(*group, "_part").agg(F.sum("n").alias("_total"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per group and partition: bounded by the partition count
     offsets = totals.select(
         *group, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = (
-        Window.partitionBy(*group, "_part").orderBy(*value).rowsBetween(Window.unboundedPreceding, -1)
-    )
     return (
         ranged.join(F.broadcast(offsets), [*group, "_part"])
-        .withColumn("below", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .drop("_offset", "_part")
+        .withColumn("below", F.col("_offset") + F.col("_inside"))
+        .drop("_offset", "_part", "_inside")
     )
 
 
+def _running(batches: Iterable[pa.RecordBatch], group: list[str]) -> Iterator[pa.RecordBatch]:
+    """Add the partition's number and the sum of ``n`` over the group's earlier rows in it."""
+    part, last, carried = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        n = batch.column("n").to_numpy()
+        codes = np.stack([batch.column(g).dictionary_encode(null_encoding="encode").indices.to_numpy() for g in group])
+        starts = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)]))
+        before = np.cumsum(n) - n
+        inside = before - np.repeat(before[starts], np.diff(np.append(starts, rows)))
+        first, own = ([batch.column(g)[at].as_py() for g in group] for at in (0, rows - 1))
+        if first == last:
+            inside[: starts[1] if len(starts) > 1 else rows] += carried
+        last, carried = own, int(inside[-1] + n[-1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(rows, part, np.int32)), pa.array(inside.astype(np.int64))],
+            names=[*batch.schema.names, "_part", "_inside"],
+        )
+
+
 # -- quantiles -----------------------------------------------------------------
 
 
@@ -223,7 +249,8 @@ def attach_ranks(
 ) -> DataFrame:
     """Replace columns by their ranks; ``labels`` maps column -> table label.
 
-    A rank table of checked size is broadcast.  Beyond that size the few hot
+    Rank tables are broadcast, the smallest first, while together they stay
+    within ``broadcast_rows``.  Of the others the few hot
     values (their number is bounded by 1/HOT_SHARE) are still resolved by
     broadcast and take no part in the shuffled join with the others, so a
     value held by a third of all rows cannot overload one task.  Identical
@@ -231,7 +258,11 @@ def attach_ranks(
     """
     sizes = table_sizes(tables) if sizes is None else sizes
     empty = TableSize(0, 0)
-    large = [c for c, g in labels.items() if sizes.get(g, empty).values > broadcast_rows]
+    large, room = [], broadcast_rows
+    for c, g in sorted(labels.items(), key=lambda item: sizes.get(item[1], empty).values):
+        room -= sizes.get(g, empty).values
+        if room < 0:
+            large.append(c)
     columns = list(labels)
     frame = df.select(
         *[f for j, c in enumerate(columns) for f in

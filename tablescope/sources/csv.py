@@ -39,11 +39,24 @@ def header_names(fields: Sequence[str | None]) -> list[str]:
 
 
 def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Encoding, and whether some quoted field goes on over a line break; one pass."""
+    """Encoding, and whether some quoted field goes on over a line break; one pass.
+
+    Columns are read by position, so files of one folder must agree in their
+    header line; it is an error if they don't.
+    """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = spark.read.text(path).agg(
-        F.bool_or(~F.is_valid_utf8("value")).alias("other"), F.bool_or(quotes % 2 == 1).alias("open")
-    ).first()
+    lines = spark.read.text(path).select(
+        "value", quotes.alias("quotes"), F.col("_metadata.file_path").alias("file"),
+        F.when((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""), F.monotonically_increasing_id()).alias("place"),
+    )
+    # one row per file: its first line that isn't blank comes with the smallest place
+    files = lines.groupBy("file").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("other"), F.bool_or(F.col("quotes") % 2 == 1).alias("open"),
+        F.min_by("value", "place").alias("header"),
+    )
+    facts = files.agg(F.bool_or("other").alias("other"), F.bool_or("open").alias("open"), F.count_distinct("header").alias("headers")).first()
+    if facts["headers"] > 1:
+        raise ValueError("The files of this folder have different headers")
     return "ISO-8859-1" if facts["other"] else "UTF-8", bool(facts["open"])
 
 
@@ -67,7 +80,7 @@ def _raw(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tupl
 
 
 def _opened(spark: SparkSession, path: str, encoding: str, multiline: bool | None) -> tuple[DataFrame, list[str]]:
-    if encoding == "auto" or multiline is None:
+    if encoding == "auto" or multiline is None or len(spark.read.text(path).inputFiles()) > 1:
         found, broken = detect_layout(spark, path)
         encoding = found if encoding == "auto" else encoding
         multiline = broken if multiline is None else multiline
@@ -124,7 +137,8 @@ def read_csv_typed(
     many is an error (``on_bad="error"``) or is left to ``bad_records``
     (``on_bad="skip"``).  Quoted line breaks are found by counting quotes per
     line unless ``multiline`` says whether there are any; such a file is read
-    whole by one task, others are split.  For repeated analysis store the result as Parquet.
+    whole by one task, others are split.  Files of one folder must have equal
+    headers.  For repeated analysis store the result as Parquet.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError("Only CSV files are supported")

@@ -3,13 +3,16 @@
 A third of the rows shares one value throughout.
 """
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import top_n_per_group
-from tablescope.operators import corr, modeling, profile, ranks
+from tablescope.functions.session import columnar, is_columnar
+from tablescope.operators import clean, corr, modeling, profile, ranks
 from tablescope.sources.rows import limit_rows
 
 N = 3000
@@ -86,6 +89,46 @@ def test_duplicates_at_every_strategy(skewed):
     assert profile.duplicate_count(shifted) == 0
 
 
+def test_deduplication_at_every_strategy(skewed):
+    df, frame = skewed
+    rows = df.select("a", "b", "g", F.lit(1).alias("h"))
+    expected = sorted(frame[["a", "b", "g"]].drop_duplicates().itertuples(index=False, name=None))
+    repeated, groups = profile.repeated_digests(rows)
+    assert groups > 0
+    for bound in (0, 10**6):
+        found = clean._distinct(rows, repeated, groups, broadcast_groups=bound)
+        assert sorted(tuple(r)[:3] for r in found.collect()) == expected
+    unique = df.sparkSession.range(5)
+    assert clean.drop_duplicates(unique).count() == 5
+
+
+def test_columns_of_computed_tables_are_written_once(skewed, tmp_path):
+    df, _ = skewed
+    spark = df.sparkSession
+    path = str(tmp_path / "t")
+    df.select("a", "g").write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert is_columnar(stored) and is_columnar(stored.where("a > 0").select(F.col("a") + 1))
+    double = stored.unionByName(stored)
+    for wide in (double, stored.groupBy("g").count(), spark.read.text(path)):
+        assert not is_columnar(wide)
+    with columnar(double) as held:
+        files = held.inputFiles()
+        assert is_columnar(held) and held.columns == ["a", "g"] and held.count() == 2 * N
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert profile.column_profile(double).first()["rows_count"] == 2 * N
+
+
+def test_running_sums_over_groups(skewed):
+    df, frame = skewed
+    counts = df.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
+    found = {(r["g"], r["b"]): r["below"] for r in ranks.counts_below(counts.repartition(9), ["g"], ["b"]).collect()}
+    for g, part in frame.groupby("g"):
+        sizes = part["b"].value_counts().sort_index()
+        expected = dict(zip(sizes.index, sizes.cumsum() - sizes))
+        assert {b: n for (own, b), n in found.items() if own == g} == expected
+
+
 def counted(df):
     return sorted((tuple(r)[:-1], r["n"]) for r in df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).collect())
 

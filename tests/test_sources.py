@@ -28,6 +28,18 @@ def test_header_repair(spark, tmp_path):
     assert csv.header_names(["a", "a", None]) == ["a", "a.1", "Unnamed: 2"]
 
 
+def test_headers_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for name, data in (("a.csv", "a,b\n1,2\n"), ("b.csv", "\na,b\n3,4\n")):
+        (folder / name).write_text(data)
+    assert sorted(map(tuple, csv.read_csv_typed(spark, str(folder)).collect())) == [(1, 2), (3, 4)]
+    (folder / "c.csv").write_text("b,a\n5,6\n")
+    for known in ({}, {"encoding": "UTF-8", "multiline": False}):
+        with pytest.raises(ValueError, match="different headers"):
+            csv.read_csv_typed(spark, str(folder), **known)
+
+
 def test_latin1_fallback(spark, tmp_path):
     df = csv.read_csv_typed(spark, write(tmp_path, "n,t\n1,né\n".encode("latin-1")))
     assert df.first()["t"] == "né"
