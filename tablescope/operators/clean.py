@@ -18,7 +18,7 @@ from tablescope.functions.columns import (
     per_column,
     ref,
 )
-from tablescope.functions.session import discard, pinned
+from tablescope.functions.session import pinned, stored
 from tablescope.operators.profile import (
     DUPLICATE_GROUPS,
     column_profile,
@@ -60,7 +60,8 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     Only digests are counted over all rows; rows without a repeated one stay
     where they are, and the others alone are compared in full.
     """
-    return _distinct(nan_to_null(df), *repeated_digests(df))
+    repeated = stored(repeated_digests(df), "repeated-digests")
+    return _distinct(nan_to_null(df), repeated, repeated.count())
 
 
 def _distinct(rows: DataFrame, repeated: DataFrame, groups: int, *, broadcast_groups: int = DUPLICATE_GROUPS) -> DataFrame:
@@ -189,16 +190,16 @@ def clean(
         raise ValueError("Cleaning removed all columns. Keep at least one column")
 
     if drop_duplicate_rows:
-        repeated, groups = repeated_digests(current)
+        repeated = repeated_digests(current).persist()
+        groups = repeated.count()
         copies = count_copies(current, repeated, groups)
         if copies:
             changes.append(("drop_duplicate_rows", "", copies))
             # the lazy result reads the stored digests
-            current = _distinct(current, repeated, groups)
+            current = _distinct(current, stored(repeated, "repeated-digests"), groups)
             if strategy != "none":
                 current = pinned(current)
-        if not copies or strategy != "none":
-            discard(repeated)
+        repeated.unpersist()
 
     if strategy == "drop_rows":
         complete = drop_incomplete(current)

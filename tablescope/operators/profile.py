@@ -20,7 +20,7 @@ from tablescope.functions.columns import (
     ref,
     settled,
 )
-from tablescope.functions.session import columnar, discard, stored
+from tablescope.functions.session import columnar
 
 PROFILE_SCHEMA = T.StructType(
     [
@@ -184,11 +184,11 @@ def duplicate_count(df: DataFrame, *, broadcast_groups: int = DUPLICATE_GROUPS)
     unique are certainly unique; the others are compared in full, by semi-join
     when the candidate digests are few enough to broadcast.
     """
-    repeated, groups = repeated_digests(df)
+    repeated = repeated_digests(df).persist()
     try:
-        return count_copies(df, repeated, groups, broadcast_groups=broadcast_groups)
+        return count_copies(df, repeated, repeated.count(), broadcast_groups=broadcast_groups)
     finally:
-        discard(repeated)
+        repeated.unpersist()
 
 
 def row_digest(df: DataFrame) -> Column:
@@ -196,12 +196,11 @@ def row_digest(df: DataFrame) -> Column:
     return F.xxhash64(*comparable(df))
 
 
-def repeated_digests(df: DataFrame) -> tuple[DataFrame, int]:
-    """Digests that more than one row has, as a stored table, and their number."""
+def repeated_digests(df: DataFrame) -> DataFrame:
+    """Digests that more than one row has."""
     frame = nan_to_null(df)
     counted = frame.select(row_digest(frame).alias("_row_digest")).groupBy("_row_digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stored(counted.where("n > 1").select("_row_digest"), "repeated-digests")
-    return repeated, repeated.count()
+    return counted.where("n > 1").select("_row_digest")
 
 
 def count_copies(df: DataFrame, repeated: DataFrame, groups: int, *, broadcast_groups: int = DUPLICATE_GROUPS) -> int:
