@@ -1,13 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Two features find overlapping documents: a rare line (in at most RARE
-documents), and two consecutive lines of any frequency.  Every document is linked to the first
+Two features find overlapping documents: a line, and two consecutive lines, both
+of any frequency.  Every document is linked to the first
 document with the feature, so a feature gives no pairs within a group and each line's
 earliest holder is linked.  Linked documents are aligned with patience diff on
 their line hashes, and aligned common blocks are deleted from the later one.
-
-A frequent line alone links nothing, however many documents hold it; it goes
-where it is part of an aligned block.
 """
 
 from __future__ import annotations
@@ -26,7 +23,8 @@ from tablescope.functions.session import discard, stored
 from tablescope.llm.attach import attach
 from tablescope.llm.words import sliced
 
-RARE = 100
+#: Most documents that may hold a line which links them alone: no bound, so a result doesn't change as a table grows.
+RARE = float("inf")
 #: Words of a line that may link documents, and of a block that is deleted.
 LINE_WORDS = 3
 BLOCK_WORDS = 5
@@ -141,13 +139,14 @@ def _aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: float = RARE) -> DataFrame:
     """All rows and columns with n_lines, n_removed, removed (line numbers) and kept_text.
 
     Lines are compared without outer and repeated white space; blank lines don't
     count and stay.  The later document is the one with the larger id, null ids
     coming first; rows that share an id are ordered by a hash of their text, and
     rows that repeat id and text are treated alike.  Null and empty texts lose nothing.
+    With `rare`, lines that more documents hold link nothing alone.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = {"id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "tag": F.xxhash64(text)}
@@ -155,7 +154,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = stored(rows.mapInArrow(_hashed, "id long, tag long, lines binary, words binary"), "lines")
     holders = lines.select("id", "tag", "lines", "words").mapInArrow(_features, "feature binary, pair boolean, id long, tag long")
     first = holders.groupBy("feature", "pair").agg(F.min(F.struct("id", "tag")).alias("first"), F.count("*").alias("n"))
-    first = stored(first.filter(F.col("n") > 1).filter(F.col("pair") | (F.col("n") <= rare)).drop("n"), "line-features")
+    first = stored(first.filter(F.col("n") > 1).filter(F.col("pair") | (F.col("n") <= F.lit(float(rare)))).drop("n"), "line-features")
     links = holders.join(first, ["feature", "pair"]).filter(F.struct("id", "tag") > F.col("first"))
     links = stored(links.select("id", "tag", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag")).distinct(), "line-links")
     # a repeated row has the lines of its twin

@@ -82,3 +82,10 @@ def test_registered_query_equals_plain_version(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.n_removed for r in op6_line_dedup(spark, sf).collect()} == expected(rows, d.RARE)
+
+
+def test_frequent_line_goes_at_every_frequency(make, prose):
+    """One line with other neighbours in each of 130 documents."""
+    rows = [(i, f"{prose(9, i)}\nThe same frequent line stands everywhere.\n{prose(9, i + 500)}") for i in range(130)]
+    found = {r.doc_id: r.removed for r in d.drop_repeated_lines(make(rows)).collect()}
+    assert found == {i: [1] if i else [] for i in range(130)}
