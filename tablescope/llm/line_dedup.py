@@ -4,7 +4,7 @@ Two features find overlapping documents: a line, and two consecutive lines, both
 of any frequency.  Every document is linked to the first
 document with the feature, so a feature gives no pairs within a group and each line's
 earliest holder is linked.  Linked documents are aligned with patience diff on
-their line hashes, and aligned common blocks are deleted from the later one.
+their line hashes (regions without unique lines by a longest common subsequence), and aligned common blocks are deleted from the later one.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ RARE = float("inf")
 #: Words of a line that may link documents, and of a block that is deleted.
 LINE_WORDS = 3
 BLOCK_WORDS = 5
+#: Bits held while a region without unique lines is aligned.
+LCS_BITS = 1 << 28
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -47,6 +49,51 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _steps(one: list, other: list) -> Iterator[int]:
+    """After each line of one: bits that are 0 where the longest common subsequence grows with a line of other."""
+    places: dict = {}
+    for at, line in enumerate(other):
+        places[line] = places.get(line, 0) | 1 << at
+    full = row = (1 << len(other)) - 1
+    for line in one:
+        both = row & places.get(line, 0)
+        row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(one: list, other: list) -> np.ndarray:
+    """Length of the longest common subsequence of one and every beginning of other."""
+    row = (1 << len(other)) - 1
+    for row in _steps(one, other):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(other)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def longest_common(one: list, other: list) -> list[tuple[int, int]]:
+    """A longest common subsequence as (position in one, position in other); memory stays below LCS_BITS."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(one), 0, len(other))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if (b - a) * (d - c) > LCS_BITS and b - a > 1:
+            half = (a + b) // 2
+            best = c + int(np.argmax(_lengths(one[a:half], other[c:d]) + _lengths(one[half:b][::-1], other[c:d][::-1])[::-1]))
+            todo += [(a, half, c, best), (half, b, best, d)]
+            continue
+        rows = list(_steps(one[a:b], other[c:d]))
+        p, q = b - a, d - c
+        while p and q:
+            if rows[p - 1] >> (q - 1) & 1:
+                q -= 1
+                continue
+            p -= 1
+            if not p or rows[p - 1] >> (q - 1) & 1:
+                q -= 1
+                out.append((a + p, c + q))
+    return sorted(out)
+
+
 def patience(one: list, other: list) -> list[tuple[int, int]]:
     """Aligned equal lines (position in one, position in other), rising in both."""
     out: list[tuple[int, int]] = []
@@ -65,6 +112,9 @@ def patience(one: list, other: list) -> list[tuple[int, int]]:
         places = {line: at for at, line in enumerate(other[c:d], c) if right[line] == 1}
         anchors = _increasing([(at, places[line]) for at, line in enumerate(one[a:b], a) if left[line] == 1 and line in places])
         if not anchors:
+            # no line is unique on both sides
+            lines, held = [at for at in range(a, b) if one[at] in right], [at for at in range(c, d) if other[at] in left]
+            out.extend((lines[p], held[q]) for p, q in longest_common([one[at] for at in lines], [other[at] for at in held]))
             continue
         out.extend(anchors)
         for (p, q), (r, s) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):

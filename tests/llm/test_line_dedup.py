@@ -89,3 +89,25 @@ def test_frequent_line_goes_at_every_frequency(make, prose):
     rows = [(i, f"{prose(9, i)}\nThe same frequent line stands everywhere.\n{prose(9, i + 500)}") for i in range(130)]
     found = {r.doc_id: r.removed for r in d.drop_repeated_lines(make(rows)).collect()}
     assert found == {i: [1] if i else [] for i in range(130)}
+
+
+def test_longest_common_has_the_length_of_the_plain_table(monkeypatch):
+    rng = random.Random(4)
+    for limit in (1 << 28, 6):
+        monkeypatch.setattr(d, "LCS_BITS", limit)
+        for _ in range(300):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in "ab")
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            found = d.longest_common(a, b)
+            assert len(found) == table[-1][-1] and all(a[i] == b[j] for i, j in found)
+            assert all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:], strict=False))
+
+
+def test_passage_twice_in_the_later_document(make, prose):
+    line, own = "A passage of more than five words.", [prose(9, i) for i in range(3)]
+    rows = [(1, line), (2, "\n".join([own[0], line, own[1], line, own[2]]))]
+    found = {r.doc_id: (r.n_removed, r.kept_text.count(line)) for r in d.drop_repeated_lines(make(rows)).collect()}
+    assert found == {1: (0, 1), 2: (1, 1)}
