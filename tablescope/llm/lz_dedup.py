@@ -9,8 +9,8 @@ and consecutive windows that occur in an earlier document form a factor.
 Windows are checked one by one at the boundaries of factors, so a window that
 two factors share is found as well.
 
-The index is one shuffle of the blocks: a block carries a 32-bit mark for each
-of its windows (on average 13), about 5 bytes per word.  Blocks of very frequent passages, found by counting the blocks
+The index is one shuffle of the blocks: a block carries the 64-bit hash of each
+of its windows (on average 13), about 9 bytes per word; windows are equal if block, place and hash are.  Blocks of very frequent passages, found by counting the blocks
 of a share of the documents, go another way: equal occurrences are folded before
 the shuffle, and answers return by joins, which Spark splits.
 Both ways give the same windows.
@@ -97,9 +97,8 @@ def _index(batches: Iterable[pa.RecordBatch], window: int, frequent: np.ndarray)
     for batch in sliced(batches, "text"):
         found = blocks_of(batch.column("text"), window)
         found = _chosen(found, ~np.isin(found.hashes, frequent))
-        marks = (found.windows >> np.uint64(32)).astype(np.uint32)
-        bounds = np.concatenate([[0], np.cumsum(found.counts) * 4]).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(found.counts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(marks))])
+        bounds = np.concatenate([[0], np.cumsum(found.counts) * 8]).astype(np.int32)
+        blob = pa.Array.from_buffers(pa.binary(), len(found.counts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(found.windows))])
         rows = pa.array(found.rows)
         yield pa.RecordBatch.from_arrays(
             [
@@ -124,8 +123,8 @@ def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, begins, offsets = (table[n].to_numpy() for n in ("block", "id", "begin", "offset"))
         marks = table["marks"].combine_chunks()
         marks = marks.chunk(0) if isinstance(marks, pa.ChunkedArray) else marks
-        bounds = np.frombuffer(marks.buffers()[1], np.int32)[marks.offset : marks.offset + len(marks) + 1] // 4
-        values = np.frombuffer(marks.buffers()[2], np.uint32)[bounds[0] : bounds[-1]]
+        bounds = np.frombuffer(marks.buffers()[1], np.int32)[marks.offset : marks.offset + len(marks) + 1] // 8
+        values = np.frombuffer(marks.buffers()[2], np.uint64, int(bounds[-1]))[bounds[0] :]
         counts = np.diff(bounds)
         inner, row = _numbered(counts), np.repeat(np.arange(len(counts)), counts)
         keys = _window_keys(block.view(np.uint64)[row], offsets[row] - inner, values)
@@ -154,7 +153,7 @@ def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         held.append(batch)
-        size += batch.column("marks").nbytes // 4
+        size += batch.column("marks").nbytes // 8
         if size >= AT_ONCE:
             table = pa.Table.from_batches(held)
             block = table["block"].to_numpy()
@@ -168,8 +167,8 @@ def _factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_keys(blocks: np.ndarray, places: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Identity of a window: its block, the block's place in it, and its mark."""
-    return mixed(blocks ^ mixed(marks.astype(np.uint64) << np.uint64(16) | places.astype(np.uint64)))
+    """Identity of a window: its block, the block's place in it, and its hash."""
+    return mixed(blocks ^ mixed(marks + places.astype(np.uint64)))
 
 
 def _frequent_contexts(batches: Iterable[pa.RecordBatch], window: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -177,10 +176,10 @@ def _frequent_contexts(batches: Iterable[pa.RecordBatch], window: int, frequent:
     for batch in sliced(batches, "text"):
         found = blocks_of(batch.column("text"), window)
         found = _chosen(found, np.isin(found.hashes, frequent))
-        marks, ends = (found.windows >> np.uint64(32)).astype(np.uint32), np.cumsum(found.counts)
+        ends = np.cumsum(found.counts)
         rows: dict[tuple, list[int]] = {}
         for at, end in enumerate(ends):
-            key = (int(found.hashes[at].view(np.int64)), int(found.offsets[at]), marks[end - found.counts[at] : end].tobytes(), int(found.rows[at]))
+            key = (int(found.hashes[at].view(np.int64)), int(found.offsets[at]), found.windows[end - found.counts[at] : end].tobytes(), int(found.rows[at]))
             rows.setdefault(key, []).append(int(found.begins[at]))
         own = pa.array([k[3] for k in rows], pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -197,7 +196,7 @@ def _context_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = [np.frombuffer(m, np.uint32) for m in batch.column("marks").to_pylist()]
+        marks = [np.frombuffer(m, np.uint64) for m in batch.column("marks").to_pylist()]
         counts = np.array([len(m) for m in marks])
         rows, inner = np.repeat(np.arange(len(counts)), counts), _numbered(counts)
         places = batch.column("offset").to_numpy()[rows] - inner

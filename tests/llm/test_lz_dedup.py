@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 
 from tablescope.llm import lz_dedup
@@ -55,3 +56,17 @@ def test_equals_plain_version(make, prose, edge, monkeypatch, window, frequent):
 
 def test_empty_table(make):
     assert lz_dedup.remove_repeats(make([(1, "a")]).filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_windows_that_share_half_a_hash_are_different(make, prose, monkeypatch, frequent):
+    """Pairs of windows with one block, one place and the same upper 32 bits of the hash."""
+    if frequent:
+        monkeypatch.setattr(lz_dedup, "COUNTED", 1)
+        monkeypatch.setattr(lz_dedup, "FREQUENT_COUNT", 2)
+        monkeypatch.setattr(lz_dedup, "FREQUENT_SHARE", 0.0)
+    ends = [(48644, 162944), (187396, 200141), (14388, 90487), (143777, 212953), (40379, 102625)]
+    rows = [(i, f"{prose(49, 5)} v{end}") for i, end in enumerate(e for pair in ends for e in pair)]
+    found = lz_dedup.blocks_of(pa.array([t for _, t in rows]), 50)
+    assert len(set(found.hashes)) == len(set(found.offsets)) == 1 and len(set(found.windows >> 32)) == len(ends)
+    assert {r.n_removed for r in lz_dedup.remove_repeats(make(rows)).collect()} == {0}
