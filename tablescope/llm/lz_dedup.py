@@ -1,13 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by window hashes around shared blocks.
 
 Every document is cut into reference blocks: of the runs of BLOCK words inside
 any window of WINDOW words, the one with the smallest hash, the leftmost of
 equals, is the window's block.  The choice depends on the words alone, so equal
 windows have equal blocks at equal offsets.  All blocks of all documents are indexed by
 hash; where two documents share a block, their windows around it are compared,
-and consecutive windows that occur in an earlier document form a factor.
-Windows are checked one by one at the boundaries of factors, so a window that
-two factors share is found as well.
+and consecutive windows that occur in an earlier document form a run, here called
+a factor.  All windows are looked up by hash; there is no greedy Lempel-Ziv parse
+against the text of a reference.
 
 The index is one shuffle of the blocks: a block carries the 64-bit hash of each
 of its windows (on average 13), about 9 bytes per word; windows are equal if block, place and hash are.  Blocks of very frequent passages, found by counting the blocks
