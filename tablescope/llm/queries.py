@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and SQL where it can express them."""
+"""Registered queries of the operators, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -144,6 +144,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablescope.llm.packing import CAPACITY, pack
+    from tablescope.llm.pieces import cut_documents
+
+    pieces = cut_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
+    packed = pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), CAPACITY)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -162,5 +173,6 @@ def registered() -> dict[str, tuple[Query, str | None]]:
         "op8_licenses": (op8_licenses, None),
         "op9_simhash": (op9_simhash, None),
         "op10_mixing": (op10_mixing, None),
+        "op13_packing": (op13_packing, None),
         "pipeline": (pipeline, None),
     }
