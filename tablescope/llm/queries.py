@@ -144,6 +144,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.repair import damaged, repair_summary
+
+    chats = _table(spark, sf_dir, "conversations")
+    ids = chats.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = repair_summary(damaged(chats)).withColumnRenamed("conv_id", "c")
+    every = ids.join(found, ids["conv_id"].eqNullSafe(found["c"]), "left")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return every.select("conv_id", *[F.coalesce(c, empty.get(c, F.lit(0))).alias(c) for c in found.columns[1:]])
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -173,6 +184,7 @@ def registered() -> dict[str, tuple[Query, str | None]]:
         "op8_licenses": (op8_licenses, None),
         "op9_simhash": (op9_simhash, None),
         "op10_mixing": (op10_mixing, None),
+        "op12_repair": (op12_repair, None),
         "op13_packing": (op13_packing, None),
         "pipeline": (pipeline, None),
     }
