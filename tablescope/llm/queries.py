@@ -144,6 +144,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablescope.llm.whitening import whiten
+
+    found = whiten(_table(spark, sf_dir, "embeddings"), count=8)
+    # a deviation beyond a long is null
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescope.llm.repair import damaged, repair_summary
 
@@ -184,6 +192,7 @@ def registered() -> dict[str, tuple[Query, str | None]]:
         "op8_licenses": (op8_licenses, None),
         "op9_simhash": (op9_simhash, None),
         "op10_mixing": (op10_mixing, None),
+        "op11_whitening": (op11_whitening, None),
         "op12_repair": (op12_repair, None),
         "op13_packing": (op13_packing, None),
         "pipeline": (pipeline, None),
