@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 from tablescope.llm.words import sliced, split_words
 
-#: Words whose ids a task keeps; beyond, it starts afresh.
-KEPT_WORDS = 500_000
+#: Words, and parts of words, whose ids a Python worker keeps; beyond, it starts afresh.
+KEPT_WORDS, KEPT_PARTS = 800_000, 200_000
 #: Id that ends every document.
 END = 1
 # Normaliser and pattern of the vocabulary whose words are encoded one by one.
@@ -87,22 +87,30 @@ class Encoder:
         """Numbers of the words in `flat` and `sizes`; the empty word stands for the end of a text."""
         if len(self.words) > KEPT_WORDS:
             self._clear()
+        if len(self.parts) > KEPT_PARTS:
+            self.parts.clear()
         known, parts, odd = self.words, self.parts, []
-        for word in words:
-            if word in known:
-                continue
+        numbers = list(map(known.get, words))
+        for at in [at for at, number in enumerate(numbers) if number is None]:
+            word = words[at]
             if self.odd.search(word):
-                odd.append(word)
+                odd.append(at)
                 continue
             ids = [i for p in _PARTS.findall(word.lower()) for i in (parts.get(p) or self._part(p))]
-            known[word] = len(self.sizes)
+            known[word] = numbers[at] = len(self.sizes)
             self.flat.extend(ids)
             self.sizes.append(len(ids))
-        for word, found in zip(odd, self.coder.encode_batch(odd, add_special_tokens=False), strict=True):
-            known[word] = len(self.sizes)
+        for at, found in zip(odd, self.coder.encode_batch([words[at] for at in odd], add_special_tokens=False), strict=True):
+            known[words[at]] = numbers[at] = len(self.sizes)
             self.flat.extend(found.ids)
             self.sizes.append(len(found.ids))
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        return np.array(numbers, np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(data: str) -> Encoder:
+    """The encoder that the tasks of one Python worker share, one after the other."""
+    return Encoder(data)
 
 
 def text_ids(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +153,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, id_col: str =
     out = StructType([StructField(id_col, kind), *StructType.fromDDL(schema).fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(sent.value)
         for batch in sliced(batches, "_text_"):
             offsets, flat = text_ids(batch.column("_text_"), encoder)
             sizes = np.diff(offsets)
