@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from tablescope.llm.words import sliced, split_words
 
 #: Words, and parts of words, whose ids a Python worker keeps; beyond, it starts afresh.
-KEPT_WORDS, KEPT_PARTS = 800_000, 200_000
+KEPT_WORDS, KEPT_PARTS = 400_000, 100_000
 #: Id that ends every document.
 END = 1
 # Normaliser and pattern of the vocabulary whose words are encoded one by one.
