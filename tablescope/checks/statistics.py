@@ -84,6 +84,92 @@ def _csv_skip_bad_records(spark, sf):
     return csv.read_csv_typed(spark, _ragged_csv(spark, sf), on_bad="skip")
 
 
+def _files_in_order(spark, sf, *columns) -> str:
+    """Orders as several CSV files, ordered by key from file to file; cells are texts of the given expressions."""
+    path = scratch_path(spark, "ordered") + ".csv"
+    orders = table(spark, sf, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    writer = orders.select("o_orderkey", *columns).write.option("header", True).option("escape", '"')
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query(
+    "csv_in_file_order",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey, o_totalprice FROM orders""",
+)
+def _csv_in_file_order(spark, sf):
+    return csv.read_csv_typed(spark, _files_in_order(spark, sf, "o_totalprice"), row_id="place")
+
+
+@query(
+    "csv_first_rows",
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) * 2 // 3 FROM orders)""",
+)
+def _csv_first_rows(spark, sf):
+    wanted = table(spark, sf, "orders").count() * 2 // 3
+    return csv.read_csv_typed(spark, _files_in_order(spark, sf, "o_totalprice"), limit=wanted)
+
+
+@query(
+    "csv_quoted_breaks",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey,
+  o_orderpriority || chr(10) || '"by" ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN repeat(chr(10) || 'more, ', 5) ELSE '' END AS note,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 END AS "left" FROM orders""",
+)
+def _csv_quoted_breaks(spark, sf):
+    key = F.col("o_orderkey")
+    more = F.when(key % 3 == 0, F.repeat(F.lit("\nmore, "), 5)).otherwise("")
+    note = F.concat("o_orderpriority", F.lit('\n"by" '), key.cast("string"), more).alias("note")
+    left = F.when(key % 5 != 0, (key % 7).cast("string")).otherwise("NA").alias("left")
+    return csv.read_csv_typed(spark, _files_in_order(spark, sf, note, left), row_id="place")
+
+
+@query(
+    "csv_repaired_header",
+    """SELECT p_partkey AS part, p_size::BIGINT AS "part.1", p_brand AS "Unnamed: 2", p_retailprice AS "part.2" FROM part""",
+)
+def _csv_repaired_header(spark, sf):
+    path = scratch_path(spark, "header") + ".csv"
+    table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice").coalesce(1).write.csv(path)
+    lines = spark.read.text(path)
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_pydict({"value": ["part,part,,part"]}, schema=batch.schema)
+            yield batch
+
+    named = scratch_path(spark, "header") + ".csv"
+    lines.mapInArrow(with_header, "value string").write.text(named)
+    return csv.read_csv_typed(spark, named)
+
+
+@query(
+    "csv_rejected",
+    """SELECT * FROM (VALUES ('no rows', 'Uploaded file is empty'), ('no lines', 'Uploaded file is empty'),
+  ('not a csv', 'Only CSV files are supported'),
+  ('surplus', (SELECT 'Failed to read CSV: ' || count(*) || ' rows have more than 3 fields' FROM part WHERE p_partkey % 10 = 0))) t(source, error)""",
+)
+def _csv_rejected(spark, sf):
+    parts = table(spark, sf, "part")
+    none = scratch_path(spark, "none")
+    sources = {
+        "no rows": sinks.save(parts.where("p_partkey < 0").select("p_partkey", "p_brand"), none + "-rows.csv", "csv"),
+        "no lines": sinks.save(parts.where("p_partkey < 0").select(F.col("p_brand")), none + "-lines.csv", "csv"),
+        "not a csv": sinks.save(parts, none + ".parquet"),
+        "surplus": _ragged_csv(spark, sf),
+    }
+    rows = []
+    for source, path in sources.items():
+        try:
+            csv.read_csv_typed(spark, path).count()
+        except ValueError as error:
+            rows.append((source, str(error)))
+    return spark.createDataFrame(rows, "source string, error string")
+
+
 @query(
     "result_sink_roundtrip",
     """WITH c AS (SELECT o_orderpriority AS value, count(*)::BIGINT AS value_count FROM orders GROUP BY 1),

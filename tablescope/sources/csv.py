@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.columns import NUMBER, column_aggregates, ref
+from tablescope.sources.records import csv_records
 
 #: Fixed list of texts that mean "missing".
 MISSING_TOKENS = (
@@ -18,6 +19,7 @@ MISSING_TOKENS = (
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
 SURPLUS = "_surplus_field"
+PLACE = "_place_in_file"
 
 
 def header_names(fields: Sequence[str | None]) -> list[str]:
@@ -67,24 +69,47 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
-def _raw(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tuple[DataFrame, list[str]]:
-    options = {"encoding": encoding, "multiLine": multiline, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    first = spark.read.options(**options, header=False).csv(path).limit(1).collect()
+def _schema(names: Sequence[str]) -> T.StructType:
+    fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
+    return T.StructType([*fields, T.StructField(SURPLUS, T.StringType())])
+
+
+_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _raw(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, list[str]]:
+    """Rows as text, one line each."""
+    reader = spark.read.options(**_OPTIONS, encoding=encoding)
+    first = reader.options(header=False).csv(path).limit(1).collect()
     if not first:
         raise ValueError("Uploaded file is empty")
     names = header_names(list(first[0]))
-    fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]
-    schema = T.StructType([*fields, T.StructField(SURPLUS, T.StringType())])
-    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    return rows, names
+    reader = spark.read.options(**_OPTIONS, encoding=encoding, header=True, enforceSchema=True)
+    return reader.schema(_schema(names)).csv(path), names
+
 
+def _numbered(spark: SparkSession, path: str, encoding: str, limit: int | None) -> tuple[DataFrame, list[str]]:
+    """Rows as text with their place in file order; quoted fields may hold line breaks."""
+    found = csv_records(spark, path, encoding)
+    parsed = spark.createDataFrame([(found.header,)], "h string").select(
+        F.from_csv("h", ", ".join(f"f{i} string" for i in range(found.header.count(",") + 1)), {**_OPTIONS, "multiLine": "true"}).alias("h")
+    )
+    head = list(parsed.first()["h"])
+    names = header_names(head[: max([i for i, h in enumerate(head) if h is not None], default=0) + 1] if '"' in found.header else head)
+    fields = F.from_csv("text", _schema(names).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {**_OPTIONS, "multiLine": "true"})
+    return found.rows(limit).select(F.col("row_id").alias(PLACE), fields.alias("r")).select(PLACE, "r.*"), names
 
-def _opened(spark: SparkSession, path: str, encoding: str, multiline: bool | None) -> tuple[DataFrame, list[str]]:
-    if encoding == "auto" or multiline is None or len(spark.read.text(path).inputFiles()) > 1:
+
+def _opened(
+    spark: SparkSession, path: str, encoding: str, multiline: bool | None, placed: bool = False, limit: int | None = None
+) -> tuple[DataFrame, list[str]]:
+    if not placed and not multiline and (encoding == "auto" or multiline is None or len(spark.read.text(path).inputFiles()) > 1):
         found, broken = detect_layout(spark, path)
         encoding = found if encoding == "auto" else encoding
         multiline = broken if multiline is None else multiline
-    return _raw(spark, path, encoding, multiline)
+    if placed or multiline:
+        return _numbered(spark, path, encoding, limit)
+    return _raw(spark, path, encoding)
 
 
 def _known(value: Column) -> Column:
@@ -110,7 +135,7 @@ def column_facts(df: DataFrame) -> dict[str, dict]:
             "flag": F.bool_and(v.rlike(BOOLEAN)),
         }
 
-    names = [c for c in df.columns if c != SURPLUS]
+    names = [c for c in df.columns if c not in (SURPLUS, PLACE)]
     return dict(zip(names, column_aggregates(df, names, make, per_scan=32)))
 
 
@@ -130,21 +155,26 @@ def read_csv_typed(
     encoding: str = "auto",
     on_bad: str = "error",
     multiline: bool | None = None,
+    row_id: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Read a CSV file with a header line and infer column types from all rows.
 
     A row with too few fields is padded with missing values.  One with too
     many is an error (``on_bad="error"``) or is left to ``bad_records``
     (``on_bad="skip"``).  Quoted line breaks are found by counting quotes per
-    line unless ``multiline`` says whether there are any; such a file is read
-    whole by one task, others are split.  Files of one folder must have equal
-    headers.  For repeated analysis store the result as Parquet.
+    line unless ``multiline`` says whether there are any; such a file is cut
+    into records split by split.  ``row_id`` names a BIGINT column with the place
+    of each row in file order, from 0, files by name; rows without a place in
+    the result (too many fields) keep theirs.  ``limit`` keeps the first rows in
+    that order; types are then inferred from these.  Files of one folder must
+    have equal headers.  For repeated analysis store the result as Parquet.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError("Only CSV files are supported")
     if on_bad not in ("error", "skip"):
         raise ValueError("on_bad must be error or skip")
-    rows, names = _opened(spark, path, encoding, multiline)
+    rows, names = _opened(spark, path, encoding, multiline, row_id is not None or limit is not None, limit)
     facts = column_facts(rows)
     totals = next(iter(facts.values()))
     if on_bad == "error" and totals["surplus"]:
@@ -153,7 +183,11 @@ def read_csv_typed(
         raise ValueError("Uploaded file is empty")
     text = rows.where(ref(SURPLUS).isNull()).drop(SURPLUS) if totals["surplus"] else rows.drop(SURPLUS)
     typed = []
-    for raw, name in zip(text.columns, names):
+    if row_id is not None:
+        if row_id in names:
+            raise ValueError(f"The file has a column '{row_id}'")
+        typed.append(ref(PLACE).alias(row_id))
+    for raw, name in zip([c for c in text.columns if c != PLACE], names):
         kind = narrowest_type(facts[raw])
         value = _known(ref(raw))
         if kind != "string":
@@ -167,5 +201,5 @@ def bad_records(
 ) -> DataFrame:
     """Rows with more fields than the header, as text, with the first surplus field."""
     rows, names = _opened(spark, path, encoding, multiline)
-    found = rows.where(ref(SURPLUS).isNotNull())
+    found = rows.where(ref(SURPLUS).isNotNull()).drop(PLACE)
     return found.toDF(*names, SURPLUS)
