@@ -436,6 +436,29 @@ def _corr_matrix_spearman_gaps(spark, sf):
     return corr.correlation_matrix(gappy, "spearman")
 
 
+#: Fourteen numbers of an order, each with gaps of its own.
+MANY_GAPS = [
+    (f"g{k}", source, f"(o_orderkey * {k + 2} + o_custkey) % {k + 4} <> 0")
+    for k, source in enumerate(
+        ["o_totalprice", "o_custkey", "o_orderkey"] + [f"o_orderkey % {m}" for m in (7, 97, 1000)]
+        + [f"o_custkey % {m}" for m in (5, 31, 400)] + [f"floor(o_totalprice / {m})" for m in (10, 1000, 50000)] + ["o_totalprice - o_custkey", "o_orderkey % 2"]
+    )
+]
+
+
+@query(
+    "corr_matrix_spearman_many_gaps",
+    _matrix_sql(
+        _spearman_sql, [name for name, _, _ in MANY_GAPS],
+        "dirty AS (SELECT " + ", ".join(f"CASE WHEN {there} THEN {source} END AS {name}" for name, source, there in MANY_GAPS) + " FROM orders)",
+    ),
+)
+def _corr_matrix_spearman_many_gaps(spark, sf):
+    """All 91 pairs of fourteen columns with gaps: every ranking comes from one scan."""
+    cells = [F.expr(f"CASE WHEN {there} THEN {source} END").alias(name) for name, source, there in MANY_GAPS]
+    return corr.correlation_matrix(table(spark, sf, "orders").select(*cells), "spearman")
+
+
 @query(
     "corr_matrix_wide",
     _pairs(_pearson_sql, MATRIX[:3], MATRIX[:3]).replace("pairs AS (", "pairs AS MATERIALIZED (")

@@ -16,9 +16,9 @@ from tablescope.functions.columns import (
     numeric_columns,
     ref,
     require_column,
-    union_all,
 )
 from tablescope.functions.stats import clip_unit, defined, safe_corr
+from tablescope.operators.gap_ranks import gap_coefficients
 from tablescope.operators.ranks import BROADCAST_ROWS, attach_ranks, rank_tables, table_sizes
 
 METHODS = ("pearson", "spearman")
@@ -139,7 +139,7 @@ def coefficients(moments: DataFrame) -> DataFrame:
 
 def _incomplete(df: DataFrame, columns: Sequence[str]) -> list[str]:
     facts = column_aggregates(
-        df, columns, lambda name, _: {"m": F.count_if(as_double(df, name).isNull())}
+        df, columns, lambda name, _: {"m": F.count_if(as_double(df, name).isNull())}, per_scan=32
     )
     return [c for c, r in zip(columns, facts) if r["m"]]
 
@@ -149,46 +149,32 @@ def spearman_coefficients(
 ) -> DataFrame:
     """Rank correlations of all (left, right) pairs on their complete rows.
 
-    Ranks depend on which rows a pair uses, so columns are grouped by the
-    incomplete columns involved: complete columns share one set of ranks, and
-    every set is ranked in the same pass.
+    Ranks depend on which rows a pair uses.  Without gaps all pairs share one set
+    of ranks per column; with gaps see `gap_ranks`.
     """
     names = list(dict.fromkeys([*left, *right]))
-    gaps = set(_incomplete(df, names))
-    sets: dict[tuple[str, ...], tuple[list[str], list[str]]] = {}
-    for a in left:
-        for b in right:
-            key = tuple(c for c in names if c in gaps and c in (a, b))
-            ls, rs = sets.setdefault(key, ([], []))
-            if a not in ls:
-                ls.append(a)
-            if b not in rs:
-                rs.append(b)
-    frames, labels = {}, {}
-    for number, (key, (ls, rs)) in enumerate(sets.items()):
-        used = list(dict.fromkeys([*ls, *rs]))
-        rows = df.select(*[ref(c) for c in used])
-        for c in key:
-            rows = rows.where(as_double(df, c).isNotNull())
-        labels[key] = {c: f"{number}:{c}" for c in used}
-        frames[key] = rows
-    tables = rank_tables({labels[k][c]: (frames[k], c) for k in sets for c in labels[k]}).persist()
+    gaps = _incomplete(df, names)
+    schema = "l string, r string, coefficient double, rows_used bigint"
+    if gaps:
+        asked = [(a, b) for a in left for b in right]
+        order = {c: k for k, c in enumerate(names)}
+        once = dict.fromkeys(tuple(sorted(p, key=order.get)) for p in asked)
+        known = {(a, b): row for a, b, *row in gap_coefficients(df, list(once), gaps, broadcast_rows)}
+        keys = [(a, b, tuple(sorted((a, b), key=order.get))) for a, b in asked]
+        rows = [(a, b, *known[k]) for a, b, k in keys if k in known]
+        return df.sparkSession.createDataFrame(rows, schema)
+    labels = {c: c for c in names}
+    tables = rank_tables({c: (df, c) for c in names}).persist()
     try:
         sizes = table_sizes(tables)
-        parts = []
-        for key, (ls, rs) in sets.items():
-            mine = [(a, b) for a in ls for b in rs if key == tuple(c for c in names if c in gaps and c in (a, b))]
-            known = [sizes[labels[key][c]].rows for c in (ls[0], rs[0]) if labels[key][c] in sizes]
-            if len(known) < 2:  # no complete row
-                continue
-            ranked = attach_ranks(frames[key], labels[key], tables, sizes=sizes, broadcast_rows=broadcast_rows)
-            moments = pair_moments(ranked, ls, rs, weight="w", centre=(known[0] + 1) / 2.0)
-            pairs = [F.struct(F.lit(a), F.lit(b)) for a, b in mine]
-            parts.append(coefficients(moments).where(F.struct("l", "r").isin(pairs)))
-        rows = union_all(parts).collect() if parts else []  # one row per pair
+        rows = []
+        if all(c in sizes for c in names):
+            ranked = attach_ranks(df, labels, tables, sizes=sizes, broadcast_rows=broadcast_rows)
+            moments = pair_moments(ranked, left, right, weight="w", centre=(sizes[names[0]].rows + 1) / 2.0)
+            rows = coefficients(moments).collect()  # one row per pair
     finally:
         tables.unpersist()
-    return df.sparkSession.createDataFrame(rows, "l string, r string, coefficient double, rows_used bigint")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def pair_coefficients(
