@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablescope.checks.inputs import DIRTY, dirty, table
 from tablescope.checks.registry import query, rounded
+from tablescope.operators.encoding import feature_entries
 from tablescope.operators import metrics, modeling
 from tablescope.operators.classes import class_distribution
 from tablescope.plans.insights import model_verdict
@@ -33,7 +34,7 @@ def _model_matrix(spark, sf):
 )
 def _one_hot(spark, sf):
     matrix = modeling.model_matrix(dirty(spark, sf), "l_linestatus", ["l_orderkey", "l_returnflag"])
-    return modeling.one_hot(matrix.df, matrix.categorical).drop("l_linestatus")
+    return modeling.one_hot(matrix.df, matrix.values()).drop("l_linestatus")
 
 
 @query(
@@ -46,15 +47,26 @@ UNION ALL SELECT 'l_returnflag__R', 'l_returnflag', r::DOUBLE FROM s
 UNION ALL SELECT 'l_returnflag__N', 'l_returnflag', n::DOUBLE FROM s""",
 )
 def _feature_vector_sums(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+    return _sums(modeling.model_matrix(dirty(spark, sf), "l_linestatus", ["l_orderkey", "l_returnflag"]))
 
-    matrix = modeling.model_matrix(dirty(spark, sf), "l_linestatus", ["l_orderkey", "l_returnflag"])
-    sources = modeling.encoded_names(matrix)
-    sums = modeling.encode(matrix).select(F.posexplode(vector_to_array("features")).alias("i", "v")).groupBy("i").agg(
-        F.sum("v").alias("total")
-    )
-    names = spark.createDataFrame([(i, *s) for i, s in enumerate(sources)], "i int, feature string, source string")
-    return names.join(sums, "i").drop("i")
+
+def _sums(matrix):
+    sums = feature_entries(modeling.encode(matrix)).groupBy("position").agg(F.sum("value").alias("total"))
+    return modeling.encoded_names(matrix).join(sums, "position").drop("position")
+
+
+@query(
+    "feature_vector_distinct_text",
+    """WITH o AS (SELECT 'k' || o_orderkey AS key, o_orderpriority, o_totalprice FROM orders), p AS (SELECT min(o_orderpriority) AS base FROM o)
+SELECT 'o_totalprice' AS feature, 'o_totalprice' AS source, round(sum(o_totalprice), 2) AS total FROM o
+UNION ALL SELECT 'key__' || key, 'key', count(*)::DOUBLE FROM o WHERE key <> (SELECT min(key) FROM o) GROUP BY key
+UNION ALL SELECT 'o_orderpriority__' || o_orderpriority, 'o_orderpriority', count(*)::DOUBLE FROM o, p WHERE o_orderpriority <> base GROUP BY 1""",
+)
+def _feature_vector_distinct_text(spark, sf):
+    """A text key whose values are all distinct: its dictionary is a table, never a list."""
+    orders = table(spark, sf, "orders")
+    df = orders.select("o_orderstatus", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), "o_orderpriority", "o_totalprice")
+    return rounded(_sums(modeling.model_matrix(df, "o_orderstatus")), 2, "total")
 
 
 @query(
@@ -85,6 +97,22 @@ def _split_counts(spark, sf):
     return a.join(b, "label")
 
 
+@query(
+    "split_counts_many_classes",
+    """WITH c AS (SELECT l_orderkey AS label, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT label, n, ceil(0.2::DOUBLE * sum(n) OVER ())::BIGINT AS size, (sum(n) OVER ())::BIGINT AS total FROM c),
+f AS (SELECT label, n, size * n // total AS base, size, row_number() OVER (ORDER BY size * n % total DESC, label::VARCHAR) AS i FROM t),
+s AS (SELECT label, n, base + CASE WHEN i <= size - sum(base) OVER () THEN 1 ELSE 0 END AS test FROM f)
+SELECT label, test::BIGINT AS test_rows, (n - test)::BIGINT AS train_rows FROM s""",
+)
+def _split_counts_many_classes(spark, sf):
+    """A class per order: their counts and shares of the test part stay a table."""
+    train, test = modeling.split(table(spark, sf, "lineitem"), "l_orderkey")
+    sides = [part.select(F.col("l_orderkey").alias("label"), F.lit(n).alias("test")) for part, n in ((train, 0), (test, 1))]
+    counted = sides[0].unionByName(sides[1]).groupBy("label")
+    return counted.agg(F.sum("test").alias("test_rows"), F.sum(1 - F.col("test")).alias("train_rows"))
+
+
 @query(
     "split_keeps_every_row",
     f"WITH {DIRTY} SELECT l_orderkey, l_extendedprice, count(*)::BIGINT AS copies FROM dirty GROUP BY 1, 2",
@@ -232,32 +260,52 @@ SIZES = "SELECT count(*) AS n, ceil(0.2::DOUBLE * count(*)) AS test FROM lineite
 
 @query(
     "model_compare_classification",
-    f"""WITH s AS ({SIZES}), c AS (SELECT CASE WHEN l_discount > 0.045 THEN 'high' ELSE 'low' END AS label, count(*) AS k
-  FROM lineitem GROUP BY 1)
-SELECT 'Random Forest' AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS balanced_accuracy, 1.0::DOUBLE AS precision_macro,
+    f"""WITH s AS ({SIZES}), c AS (SELECT l_returnflag = 'R' AS label, count(*) AS k FROM lineitem GROUP BY 1),
+m(model) AS (VALUES ('Random Forest'), ('Logistic Regression'))
+SELECT model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS balanced_accuracy, 1.0::DOUBLE AS precision_macro,
   1.0::DOUBLE AS recall_macro, 1.0::DOUBLE AS f1_macro, 1.0::DOUBLE AS f1_weighted, (n - test)::BIGINT AS rows_train,
-  test::BIGINT AS rows_test, (SELECT max(k) FROM c)::BIGINT AS largest_class, 'l_discount' AS first_feature FROM s""",
+  test::BIGINT AS rows_test, (SELECT max(k) FROM c)::BIGINT AS largest_class, 'l_returnflag' AS first_feature,
+  CASE model WHEN 'Logistic Regression' THEN true END AS optimal FROM s, m""",
 )
 def _model_compare_classification(spark, sf):
-    high = F.when(F.col("l_discount") > 0.045, "high").otherwise("low").alias("label")
-    df = table(spark, sf, "lineitem").select(high, "l_discount", "l_linenumber", "l_returnflag")
+    """A flag that both models can learn exactly; the logistic one also proves its optimum."""
+    returned = F.when(F.col("l_returnflag") == "R", "returned").otherwise("kept").alias("label")
+    df = table(spark, sf, "lineitem").select(returned, "l_discount", "l_linenumber", "l_returnflag")
     found = modeling.compare_models(df, "label")
     scores = rounded(found["metrics"], 6, *[c for c in found["metrics"].columns if c != "model"])
     largest = found["class_distribution"].agg(F.max("rows_count").alias("largest_class"))
     best = found["importance"].orderBy(F.desc("importance")).limit(1).select(F.col("feature").alias("first_feature"))
-    return scores.where("model = 'Random Forest'").crossJoin(found["rows"]).crossJoin(largest).crossJoin(best)
+    proof = found["certificate"].select("model", (F.col("gradient") < 1e-4).alias("optimal"))
+    return scores.crossJoin(found["rows"]).crossJoin(largest).crossJoin(best).join(proof, "model", "left")
 
 
 @query(
     "model_compare_regression",
-    f"""WITH s AS ({SIZES}) SELECT 'Linear Regression' AS model, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2,
+    f"""WITH s AS ({SIZES}), m(model) AS (VALUES ('Linear Regression'), ('Random Forest Regressor'))
+SELECT model, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2,
   (n - test)::BIGINT AS rows_train, test::BIGINT AS rows_test,
-  (SELECT round(max(3 * l_quantity - 2 * l_discount), 6) FROM lineitem) AS target_max FROM s""",
+  (SELECT max(3 * l_linenumber - 2)::DOUBLE FROM lineitem) AS target_max,
+  CASE model WHEN 'Linear Regression' THEN true END AS optimal FROM s, m""",
 )
 def _model_compare_regression(spark, sf):
-    y = (3 * F.col("l_quantity") - 2 * F.col("l_discount")).alias("y")
-    df = table(spark, sf, "lineitem").select(y, "l_quantity", "l_discount")
+    """A line through seven places, which a line and a tree both meet exactly."""
+    y = (3 * F.col("l_linenumber") - 2).alias("y")
+    df = table(spark, sf, "lineitem").select(y, "l_linenumber", "l_discount")
     found = modeling.compare_models(df, "y", "regression")
-    scores = rounded(found["metrics"], 6, "mae", "rmse", "r2").where("model = 'Linear Regression'")
+    scores = rounded(found["metrics"], 6, "mae", "rmse", "r2")
     top = found["target_summary"].select(F.round("max", 6).alias("target_max"))
-    return scores.crossJoin(found["rows"]).crossJoin(top)
+    proof = found["certificate"].select("model", (F.col("gradient") < 1e-4).alias("optimal"))
+    return scores.crossJoin(found["rows"]).crossJoin(top).join(proof, "model", "left")
+
+
+@query(
+    "model_logistic_certificate",
+    """SELECT true AS optimal, true AS worse_elsewhere, count(DISTINCT l_returnflag)::BIGINT AS classes FROM lineitem""",
+)
+def _model_logistic_certificate(spark, sf):
+    """Three classes that the features don't separate: the loss is least where the logistic model stands."""
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_linestatus")
+    found = modeling.compare_models(df, "l_returnflag", num_trees=1, max_depth=1)
+    proof = found["certificate"].where("model = 'Logistic Regression'")
+    classes = found["class_distribution"].agg(F.count(F.lit(1)).alias("classes"))
+    return proof.select((F.col("gradient") < 1e-4).alias("optimal"), (F.col("nudged_gradient") > F.col("gradient")).alias("worse_elsewhere")).crossJoin(classes)

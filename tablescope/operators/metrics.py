@@ -21,13 +21,15 @@ def confusion_pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("rows_count"))
 
 
-def full_matrix(pairs: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+def full_matrix(pairs: DataFrame, labels: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """All pairs of the given labels, or of the labels seen on either side, with 0 where none occurs.
 
     A view for reading, classes x classes rows; metrics don't need it.
     """
     names = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
-    if labels is not None:
+    if isinstance(labels, DataFrame):
+        names = labels.toDF("c")
+    elif labels is not None:
         names = pairs.sparkSession.createDataFrame([(c,) for c in labels], "c string")
     grid = names.select(F.col("c").alias("label")).crossJoin(names.select(F.col("c").alias("prediction")))
     return grid.join(pairs, ["label", "prediction"], "left").select(
