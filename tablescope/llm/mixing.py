@@ -1,19 +1,23 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier fitted on a labelled table gives every document a probability for
-each domain.  Document rates r >= 0 are fitted by projected-gradient least
-squares so that the expected tokens of each domain, the sum over documents of
-rate * tokens * probability, match the targets.
-
-The number of domains K is small, so one step needs only K sums over all
-documents.  Rates are never stored between steps: a document's rate follows
-from its own probabilities and the K numbers of every step so far.
+each domain, from the shape of its text and from words that tell a domain from
+the others.  Document rates r >= 0 are fitted by projected-gradient least squares
+so that the expected tokens of each domain, the sum over documents of rate *
+tokens * probability, match the targets.
+
+The number of domains K is small.  Rates are never stored between steps: a
+document's rate is the projection of 1 - own tokens * multipliers on r >= 0, so K
+numbers stand for all steps so far.  A step goes along the gradient of the squared
+gap, scaled by the K x K products of the documents with a positive rate; several
+step lengths are tried in one pass, and one is taken only if it lowers the function
+whose least point is the solution.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +32,34 @@ from tablescope.llm.words import split_words
 #: Labelled rows that the classifier is fitted on, the first by hash order.
 TRAINING_ROWS = 20_000
 HASHED = 64
-PENALTY = 0.05
+PENALTY = 0.01
+#: Places of the word lexicon, and what a word needs to enter it: documents of its domain, and odds against the others.
+LEXICON = 1 << 17
+MIN_DOCUMENTS, MIN_ODDS = 3, 4.0
 STEPS = 60
-TOLERANCE = 1e-6
+#: Step lengths tried in one pass.
+LENGTHS = 0.5 ** np.arange(12)
+TOLERANCE = 1e-9
+#: A domain with a smaller share of the tokens can't be matched by rates.
+LEAST_SHARE = 1e-6
 #: Domains of the labels table and their shares of all tokens.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
 _MARKS = b"$%&*#"
+_EDGES = " .,;:!?\"()'-"
 _BYTES = {name: np.frombuffer(own, np.uint8) for name, own in {
     "upper": bytes(range(65, 91)), "digit": b"0123456789", "bar": b"|", "call": b"!", "sign": bytes(c for c in range(33, 127) if not chr(c).isalnum()),
 }.items()}
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words, and shape and hashed word frequencies, of each text of a slice."""
+def lexicon_places(words: list[bytes]) -> np.ndarray:
+    """Place of each word in the lexicon: lower case, without marks at its ends."""
+    plain = (w.decode("utf-8", "replace").lower().strip(_EDGES) for w in words)
+    return np.fromiter((xxhash.xxh64_intdigest(w) % LEXICON for w in plain), np.int64, len(words))
+
+
+def features(texts: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words, and shape, lexicon sums and hashed word frequencies, of each text of a slice."""
     count = len(texts)
     offsets, words = split_words(pa.array(texts, pa.string()), lower=False)
     sizes = np.diff(offsets)
@@ -66,9 +84,28 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         np.log1p(sizes), chars / n / 10, of["sign"] / chars * 10, of["upper"] / chars, of["digit"] / chars * 10, distinct / n, most / n,
         np.log1p(n_lines), 1 - other / np.maximum(1, n_lines), of["bar"] / n, of["call"] / n, np.bincount(owner, marked[codes], count) / n,
     ]
+    found = lexicon_places(own)[codes]
+    for weights in lexicon:
+        total = np.bincount(owner, weights[found], count)
+        shape += [total / np.sqrt(n), np.log1p(total), total / n * 10]
     return sizes, np.concatenate([np.array(shape).T.reshape(count, len(shape)), np.sqrt(hashed / n[:, None])], axis=1)
 
 
+def held_places(texts: list[str]) -> list[list[int]]:
+    """The places of each text's words, each once."""
+    offsets, words = split_words(pa.array(texts, pa.string()), lower=False)
+    coded = words.dictionary_encode()
+    places = lexicon_places(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    return [np.unique(places[b:e]).tolist() for b, e in zip(offsets, offsets[1:], strict=False)]
+
+
+def word_lexicon(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Log odds of each place for each domain against the others, 0 where too weak; counts are (domain, place)."""
+    rest, others = counts.sum(0) - counts, documents.sum() - documents
+    odds = np.log((counts + 0.5) / (documents + 1)[:, None]) - np.log((rest + 0.5) / (others + 1)[:, None])
+    return np.where((counts >= MIN_DOCUMENTS) & (odds > np.log(MIN_ODDS)), odds, 0.0).astype(np.float32)
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
     scores = np.exp(scores - scores.max(axis=1, keepdims=True))
     return scores / scores.sum(axis=1, keepdims=True)
@@ -76,24 +113,23 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixture:
-    """Classifier, and the steps from which a document's rate follows."""
+    """Classifier, and the multipliers from which a document's rate follows."""
 
     domains: tuple[str, ...]
     weights: np.ndarray
     bias: np.ndarray
-    steps: list[np.ndarray] = field(default_factory=list)
+    lexicon: np.ndarray
+    multipliers: np.ndarray | None = None
     residual: float = 0.0
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        tokens, given = features(texts)
+        tokens, given = features(texts, self.lexicon)
         return tokens.astype(float), softmax(given @ self.weights.T + self.bias)
 
     def rates(self, tokens: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        own = tokens[:, None] * posterior
-        rate = np.ones(len(own))
-        for step in self.steps:
-            rate = np.maximum(0.0, rate - own @ step)
-        return rate
+        if self.multipliers is None:
+            return np.ones(len(tokens))
+        return np.maximum(0.0, 1.0 - (tokens[:, None] * posterior) @ self.multipliers)
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -120,10 +156,24 @@ def fit_classifier(
     sample = labelled.select(F.col("doc_id").alias("_id"), code.cast("double").alias("label")).filter("label >= 0 AND _id IS NOT NULL")
     sample = stored(sample.orderBy(F.xxhash64("_id"), "_id").limit(training_rows), "mixing-sample")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
-    given = attach(rows.select("label", "text"), "text", "features array<double>", lambda texts: [features(texts)[1].tolist()])
-    given = stored(given.select("label", array_to_vector("features").alias("features")), "mixing-features")
+    # words are counted in two folds; a row's lexicon comes from the fold that it isn't in
+    rows = stored(rows.select((F.xxhash64("_id", F.lit(1)) % 2 == 0).cast("int").alias("fold"), F.col("label").cast("int").alias("label"), "text"), "mixing-rows")
+    counts, documents = np.zeros((2, len(domains), LEXICON)), np.zeros((2, len(domains)))
+    for r in rows.groupBy("fold", "label").count().collect():
+        documents[r["fold"], r["label"]] = r["count"]
+    places = attach(rows, "text", "places array<int>", lambda texts: [held_places(texts)]).select("fold", "label", F.explode("places").alias("place"))
+    for r in places.groupBy("fold", "label", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toLocalIterator():
+        counts[r["fold"], r["label"], r["place"]] = r["n"]
+    other = [word_lexicon(counts[1 - f], documents[1 - f]) for f in (0, 1)]
+    lexicon = word_lexicon(counts.sum(0), documents.sum(0))
+
+    def featured(own: np.ndarray):
+        return lambda texts: [features(texts, own)[1].tolist()]
+
+    parts = [attach(rows.where(F.col("fold") == f).select("label", "text"), "text", "features array<double>", featured(other[f])) for f in (0, 1)]
+    given = stored(parts[0].unionByName(parts[1]).select("label", array_to_vector("features").alias("features")), "mixing-features")
     seen = {int(r.label): r["count"] for r in given.groupBy("label").count().collect()}
-    size = features([""])[1].shape[1]
+    size = features([""], lexicon)[1].shape[1]
     weights, bias = np.zeros((len(domains), size)), np.full(len(domains), -30.0)
     for place, n in seen.items():
         bias[place] = np.log(n)
@@ -134,20 +184,20 @@ def fit_classifier(
             weights[place], bias[place] = fitted[place], model.interceptVector[place]
     elif not seen:
         bias[:] = 0.0
-    discard(sample, given)
-    return Mixture(domains, weights, bias)
+    discard(sample, rows, given)
+    return Mixture(domains, weights, bias, lexicon)
 
 
 def fit_rates(docs: DataFrame, mixture: Mixture, targets: Mapping[str, float] = TARGETS, text_col: str = "text", steps: int = STEPS) -> Mixture:
     """Fit nonnegative rates so that expected domain tokens match the targets.
 
     Targets are shares of the token total of `docs` and are scaled to sum to 1.
-    Starting from rate 1, each step subtracts the whitened gradient and projects
-    on r >= 0; it ends when the residual is small or no longer falls.  A domain without
-    tokens stays unmatched; `residual` tells the rest as a share of all tokens.
+    Of all rates that match them, those nearest to 1 are found.  A domain with next
+    to no tokens stays unmatched, as do targets that no rates reach; `residual` tells
+    the gap that is left as a share of all tokens.
     """
     k = len(mixture.domains)
-    classifier = Mixture(mixture.domains, mixture.weights, mixture.bias)
+    classifier = Mixture(mixture.domains, mixture.weights, mixture.bias, mixture.lexicon)
 
     def shares(texts: list[str]) -> list[list]:
         tokens, posterior = classifier.posteriors(texts)
@@ -155,35 +205,55 @@ def fit_rates(docs: DataFrame, mixture: Mixture, targets: Mapping[str, float] =
 
     rows = attach(docs.select(F.col(text_col).alias("text")), "text", "tokens double, posterior array<double>", shares)
     table = stored(rows.select("tokens", "posterior"), "mixing-shares")
-    own = [F.col("tokens") * F.col("posterior")[i] for i in range(k)]
-    sums = table.agg(*(F.sum(own[i] * own[j]) for i in range(k) for j in range(k)), F.sum("tokens")).first()
-    total = sums[-1] or 0.0
-    mixture.steps, mixture.residual = [], 0.0
+    mass = table.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(k))).first()
+    total = mass[0] or 0.0
+    mixture.multipliers, mixture.residual = None, 0.0
     if not total:
         return mixture
-    gram = np.array(sums[:-1], float).reshape(k, k)
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in mixture.domains])
     wanted = wanted / (wanted.sum() or 1.0) * total
+    matched = np.flatnonzero(np.array(mass[1:], float) > LEAST_SHARE * total)
+    m = len(matched)
+    width = 1 + m + m * m + k
 
-    def partial(batches: Iterable[pa.RecordBatch], current: Mixture) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(k)
+    def partial(batches: Iterable[pa.RecordBatch], tried: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For each set of multipliers: half the squared rates, tokens of the matched domains, their products, tokens of all."""
+        sums = np.zeros((len(tried), width))
         for batch in batches:
             tokens = batch.column("tokens").to_numpy()
-            posterior = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
-            sums += (current.rates(tokens, posterior) * tokens) @ posterior
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"s{i}" for i in range(k)])
-
-    schema, last = ", ".join(f"s{i} double" for i in range(k)), np.inf
+            own = tokens[:, None] * batch.column("posterior").flatten().to_numpy().reshape(-1, k)
+            near = own[:, matched]
+            for n, multipliers in enumerate(tried):
+                rate = np.maximum(0.0, 1.0 - near @ multipliers)
+                inside = near[rate > 0]
+                sums[n] += np.concatenate([[rate @ rate / 2], rate @ near, (inside.T @ inside).ravel(), rate @ own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["i", "v"])
+
+    def evaluated(tried: np.ndarray) -> np.ndarray:
+        found = table.mapInArrow(lambda it: partial(it, tried), "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        sums = np.zeros(len(tried) * width)
+        for r in found.collect():  # a few numbers per step length
+            sums[r["i"]] = r["v"]
+        return sums.reshape(len(tried), width)
+
+    at = np.zeros(m)
+    now = evaluated(at[None])[0]
     for _ in range(steps):
-        current = Mixture(mixture.domains, mixture.weights, mixture.bias, list(mixture.steps))
-        found = table.mapInArrow(lambda it, c=current: partial(it, c), schema).agg(*(F.sum(f"s{i}") for i in range(k))).first()
-        gap = np.array(found, float) - wanted
-        mixture.residual = float(np.abs(gap).sum() / total)
-        if mixture.residual < TOLERANCE or mixture.residual > last * (1 - 1e-3):
+        gap, products = now[1 : 1 + m] - wanted[matched], now[1 + m : 1 + m + m * m].reshape(m, m)
+        if np.abs(gap).sum() <= TOLERANCE * total:
+            break
+        scale = 1 / np.sqrt(np.maximum(np.diag(products), 1e-300))
+        step = scale * (np.linalg.pinv(products * scale[:, None] * scale, rcond=1e-14, hermitian=True) @ (scale * gap))
+        tried = at + LENGTHS[:, None] * step
+        found = evaluated(tried)
+        value = found[:, 0] + tried @ wanted[matched]
+        best = int(value.argmin())
+        if not value[best] < now[0] + at @ wanted[matched]:
             break
-        last = mixture.residual
-        mixture.steps.append(inverse @ gap)
+        at, now = tried[best], found[best]
+    mixture.multipliers = np.zeros(k)
+    mixture.multipliers[matched] = at
+    mixture.residual = float(np.abs(now[1 + m + m * m :] - wanted).sum() / total)
     discard(table)
     return mixture
 

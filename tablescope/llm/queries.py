@@ -86,7 +86,9 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.filter(F.coalesce(_remainder(7) != 2, F.lit(True))))
-    return score(docs, model).withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    found = score(docs, model)
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, *[c for c in found.columns if c != "doc_id"])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +140,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tablescope.llm.mixing import mix
+    from tablescope.llm.mixing import apply_rates, domain_labels, fit_classifier, fit_rates
 
-    mixed = mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter(_remainder(4) != 2))
-    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter(_remainder(4) != 2)
+    mixture = fit_rates(docs, fit_classifier(docs, domain_labels(labels)))
+    mixed = apply_rates(docs, mixture).withColumn("residual", F.lit(mixture.residual))
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies", "residual")
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
