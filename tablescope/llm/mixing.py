@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +53,12 @@ _BYTES = {name: np.frombuffer(own, np.uint8) for name, own in {
 }.items()}
 
 
-def lexicon_places(words: list[bytes]) -> np.ndarray:
+def lexicon_places(words: pa.Array) -> np.ndarray:
     """Place of each word in the lexicon: lower case, without marks at its ends."""
-    plain = (w.decode("utf-8", "replace").lower().strip(_EDGES) for w in words)
-    return np.fromiter((xxhash.xxh64_intdigest(w) % LEXICON for w in plain), np.int64, len(words))
+    plain = pc.utf8_trim(pc.utf8_lower(words), characters=_EDGES).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    own = np.fromiter((digest(w) % LEXICON for w in plain.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(plain.dictionary))
+    return own[plain.indices.to_numpy()] if len(words) else own
 
 
 def features(texts: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def features(texts: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.log1p(sizes), chars / n / 10, of["sign"] / chars * 10, of["upper"] / chars, of["digit"] / chars * 10, distinct / n, most / n,
         np.log1p(n_lines), 1 - other / np.maximum(1, n_lines), of["bar"] / n, of["call"] / n, np.bincount(owner, marked[codes], count) / n,
     ]
-    found = lexicon_places(own)[codes]
+    found = lexicon_places(coded.dictionary)[codes]
     for weights in lexicon:
         total = np.bincount(owner, weights[found], count)
         shape += [total / np.sqrt(n), np.log1p(total), total / n * 10]
@@ -95,7 +98,7 @@ def held_places(texts: list[str]) -> list[list[int]]:
     """The places of each text's words, each once."""
     offsets, words = split_words(pa.array(texts, pa.string()), lower=False)
     coded = words.dictionary_encode()
-    places = lexicon_places(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    places = lexicon_places(coded.dictionary)[coded.indices.to_numpy()]
     return [np.unique(places[b:e]).tolist() for b, e in zip(offsets, offsets[1:], strict=False)]
 
 

@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 from tablescope.llm.words import sliced, split_words
 
-#: Words, and parts of words, whose ids a Python worker keeps; beyond, it starts afresh.
-KEPT_WORDS, KEPT_PARTS = 400_000, 100_000
+#: Words, and parts of words, whose ids a task keeps; beyond, it starts afresh.
+KEPT_WORDS, KEPT_PARTS = 500_000, 200_000
 #: Id that ends every document.
 END = 1
 # Normaliser and pattern of the vocabulary whose words are encoded one by one.
@@ -107,12 +107,6 @@ class Encoder:
         return np.array(numbers, np.int64)
 
 
-@functools.lru_cache(maxsize=1)
-def encoder_of(data: str) -> Encoder:
-    """The encoder that the tasks of one Python worker share, one after the other."""
-    return Encoder(data)
-
-
 def text_ids(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) into the flat ids of all texts, every text closed by END."""
     if not encoder.by_word:
@@ -153,7 +147,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, id_col: str =
     out = StructType([StructField(id_col, kind), *StructType.fromDDL(schema).fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(sent.value)
+        encoder = Encoder(sent.value)
         for batch in sliced(batches, "_text_"):
             offsets, flat = text_ids(batch.column("_text_"), encoder)
             sizes = np.diff(offsets)
