@@ -494,6 +494,25 @@ def _class_ranges(spark, sf):
     return made.df.select("c_custkey", "c_acctbal", made.column)
 
 
+@query(
+    "class_rejected",
+    """SELECT * FROM (VALUES ('no row', 'Class rules did not match any rows'),
+  ('one class', 'Class rules must produce at least two classes')) t(rules, error)
+WHERE (SELECT count(*) FILTER (c_acctbal > 1000000) = 0 AND count(*) FILTER (c_acctbal <= 1000000) > 0 FROM customer)""",
+)
+def _class_rejected(spark, sf):
+    """Rules that match nothing, or give one class only, counted over all customers."""
+    above = [{"code": "a", "min": 1_000_000, "max": 2_000_000}, {"code": "b", "min": 3_000_000}]
+    tried = {"no row": above, "one class": [*above, {"code": "c", "max": 1_000_000}]}
+    rows = []
+    for rules, given in tried.items():
+        try:
+            classes.create_class(table(spark, sf, "customer"), "c_acctbal", given)
+        except ValueError as error:
+            rows.append((rules, str(error)))
+    return spark.createDataFrame(rows, "rules string, error string")
+
+
 @query(
     "class_values",
     """SELECT c_custkey, CASE WHEN trim(c_mktsegment) IN ('MACHINERY', 'BUILDING') THEN 'work'

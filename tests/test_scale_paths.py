@@ -18,6 +18,12 @@ from tablescope.sources.rows import limit_rows
 N = 3000
 
 
+def _test_sizes(spark, counts):
+    table = spark.createDataFrame(list(counts.items()), "_g string, n long")
+    return {r["_g"]: r["_t"] for r in modeling.test_sizes(table).collect()}
+
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(3)
@@ -143,7 +149,7 @@ def test_split_with_copies(skewed, partitions, monkeypatch):
     assert counted(train.unionByName(test)) == counted(rows)
     # the hot class consists of copies of one row; they are shared out in numbers
     hot = rows.where("g = 'hot'").count()
-    assert test.where("g = 'hot'").count() == modeling.test_sizes({"hot": hot, "rest": N - hot})["hot"]
+    assert test.where("g = 'hot'").count() == _test_sizes(train.sparkSession, {"hot": hot, "rest": N - hot})["hot"]
     monkeypatch.setattr(modeling, "ONE_TASK_ROWS", 5)  # several prefix passes
     assert counted(modeling.split(rows, "g")[1]) == counted(test)
 
