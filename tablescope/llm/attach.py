@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -13,6 +13,30 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from tablescope.llm.words import sliced
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none is taken (in any case)."""
+    held = {n.lower() for n in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def joined(docs: DataFrame, key: dict[str, Column], made: DataFrame, value: str, hint: str | None = None) -> tuple[DataFrame, str]:
+    """All columns of `docs` and the column `value` of `made`, under a free name, which comes second.
+
+    `key` gives each key column of `made` as an expression over `docs`.
+    """
+    *keys, found = free_names(docs.columns, *(f"_{n}" for n in key), f"_{value}")
+    left = docs.select("*", *(c.alias(n) for n, c in zip(keys, key.values(), strict=True)))
+    right = made.select(*(F.col(n).alias(k) for n, k in zip(key, keys, strict=True)), F.col(value).alias(found))
+    right = right.hint(hint) if hint else right
+    return left.join(right, keys, "left").drop(*keys), found
+
+
 def attach(
     docs: DataFrame, text_col: str, fields: str, compute: Callable[..., list[list]], keep: str | None = None, given: str | None = None
 ) -> DataFrame:
@@ -32,8 +56,8 @@ def attach(
     types = to_arrow_schema(made)
 
     def run(batches):
-        for batch in sliced(batches, "_text_"):
-            inputs = [batch.column(n).to_pylist() for n in ("_text_", "_given_") if n in batch.schema.names]
+        for batch in sliced(batches, "text"):
+            inputs = [batch.column(n).to_pylist() for n in ("text", "given") if n in batch.schema.names]
             found = compute(*inputs)
             if keep:
                 batch = batch.filter(pa.array(found[types.get_field_index(keep)], pa.bool_()))
@@ -42,8 +66,9 @@ def attach(
             arrays = [batch.column(i) for i in range(len(held))] + new
             yield pa.RecordBatch.from_arrays([a.cast(schema.field(i).type) for i, a in enumerate(arrays)], schema=schema)
 
-    columns = [F.col(f"`{f.name}`") for f in held]
-    columns.append(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text_"))
+    # numbered columns: no name of the input meets an inner one
+    columns = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(held)]
+    columns.append(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     if given:
-        columns.append(F.col(f"`{given}`").alias("_given_"))
+        columns.append(F.col(f"`{given}`").alias("given"))
     return docs.select(*columns).mapInArrow(run, out)

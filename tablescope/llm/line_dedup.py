@@ -1,10 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Two features find overlapping documents: a line, and two consecutive lines, both
-of any frequency.  Every document is linked to the first
-document with the feature, so a feature gives no pairs within a group and each line's
-earliest holder is linked.  Linked documents are aligned with patience diff on
-their line hashes (regions without unique lines by a longest common subsequence), and aligned common blocks are deleted from the later one.
+Short windows of consecutive lines find overlapping documents: every window that just reaches the
+words of a deletable block, from each line onwards and up to each line.  Every document is linked to the
+first document with the window, so a window gives no pairs within a group, and every common block, which
+holds such a window around each of its lines, has a link.  Linked documents are aligned with patience diff on
+their line hashes (regions without unique lines by a longest common subsequence), and aligned common blocks are
+deleted from the later one; common windows that cross the alignment are aligned alone.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.session import discard, stored
-from tablescope.llm.attach import attach
+from tablescope.llm.attach import attach, joined
 from tablescope.llm.words import sliced
 
 #: Most documents that may hold a line which links them alone: no bound, so a result doesn't change as a table grows.
 RARE = float("inf")
-#: Words of a line that may link documents, and of a block that is deleted.
-LINE_WORDS = 3
+#: Words of a block that is deleted.
 BLOCK_WORDS = 5
 #: Bits held while a region without unique lines is aligned.
 LCS_BITS = 1 << 28
@@ -122,22 +122,48 @@ def patience(one: list, other: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(words: np.ndarray | list[int], least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """Shortest runs of lines with at least `least` words, from every line onwards and up to every line."""
+    total = np.concatenate([[0], np.cumsum(np.asarray(words, np.int64))])
+    ends = np.searchsorted(total, total[:-1] + least)
+    begins = np.searchsorted(total, total[1:] - least, "right") - 1
+    onwards = {(i, j) for i, j in enumerate(ends.tolist()) if j < len(total)}
+    return sorted(onwards | {(i, j) for j, i in enumerate(begins.tolist(), 1) if i >= 0})
+
+
 def common_blocks(earlier: list, later: list, words: list[int], least: int = BLOCK_WORDS) -> list[int]:
     """Lines of the later document inside aligned blocks of at least `least` words.
 
-    A block is a run of lines that are consecutive in both documents.
+    A block is a run of lines that are consecutive in both documents.  One
+    alignment leaves out blocks that stand in another order; their windows
+    are aligned with the place of the earlier document that holds them.  A line of
+    the earlier document deletes one line of the later.
     """
-    out: list[int] = []
-    run: list[int] = []
-    last = (-2, -2)
+    gone: set[int] = set()
+    used: set[int] = set()
+    run: list[tuple[int, int]] = []
     for p, q in [*patience(earlier, later), (-9, -9)]:
-        if run and (p, q) != (last[0] + 1, last[1] + 1):
-            if sum(words[i] for i in run) >= least:
-                out.extend(run)
+        if run and (p, q) != (run[-1][0] + 1, run[-1][1] + 1):
+            if sum(words[i] for _, i in run) >= least:
+                used.update(at for at, _ in run)
+                gone.update(at for _, at in run)
             run = []
-        run.append(q)
-        last = (p, q)
-    return out
+        run.append((p, q))
+    left = [(i, j) for i, j in windows(words, least) if not gone.issuperset(range(i, j))]
+    if left:
+        sizes = dict(zip(later, words, strict=True))
+        places: dict[tuple, list[int]] = {}
+        for i, j in windows([sizes.get(line, least) for line in earlier], least):
+            places.setdefault(tuple(earlier[i:j]), []).append(i)
+        for i, j in left:
+            stay = [n for n in range(j - i) if i + n not in gone]
+            free = (at for at in places.get(tuple(later[i:j]), ()) if used.isdisjoint(at + n for n in stay))
+            at = next(free, None) if stay else None
+            if at is not None:
+                pairs = patience(earlier[at : at + j - i], later[i:j])
+                used.update(at + p for p, q in pairs if q in stay)
+                gone.update(i + q for _, q in pairs)
+    return sorted(gone)
 
 
 def _lines(text: str) -> tuple[list[bytes], list[int]]:
@@ -161,25 +187,25 @@ def _unpacked(lines: bytes) -> list[bytes]:
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct linking features of every document: long enough lines, and consecutive lines."""
-    for batch in batches:
-        rows, features, pairs = [], [], []
+    """Distinct windows of every document: the hash of a line, or of several consecutive lines."""
+    for batch in sliced(batches, "lines"):
+        rows, features, several = [], [], []
         for at, (lines, words) in enumerate(zip(batch.column("lines").to_pylist(), batch.column("words").to_pylist(), strict=True)):
-            own, counts = _unpacked(lines), np.frombuffer(words, np.uint32)
-            single = {line for line, n in zip(own, counts, strict=True) if n >= LINE_WORDS}
-            double = {xxhash.xxh3_128_digest(a + b) for a, b, n, m in zip(own, own[1:], counts, counts[1:], strict=False) if n + m >= LINE_WORDS}
-            features += [*single, *double]
-            pairs += [False] * len(single) + [True] * len(double)
-            rows += [at] * (len(single) + len(double))
+            found = windows(np.frombuffer(words, np.uint32))
+            single = {lines[16 * i : 16 * j] for i, j in found if j == i + 1}
+            longer = {xxhash.xxh3_128_digest(lines[16 * i : 16 * j]) for i, j in found if j > i + 1}
+            features += [*single, *longer]
+            several += [False] * len(single) + [True] * len(longer)
+            rows += [at] * (len(single) + len(longer))
         rows = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(features, pa.binary()), pa.array(pairs, pa.bool_()), batch.column("id").take(rows), batch.column("tag").take(rows)],
-            names=["feature", "pair", "id", "tag"],
+            [pa.array(features, pa.binary()), pa.array(several, pa.bool_()), batch.column("id").take(rows), batch.column("tag").take(rows)],
+            names=["feature", "several", "id", "tag"],
         )
 
 
 def _aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "first_lines"):
         columns = (batch.column(n).to_pylist() for n in ("first_lines", "lines", "words"))
         gone = [common_blocks(_unpacked(a), _unpacked(b), np.frombuffer(w, np.uint32).tolist()) for a, b, w in zip(*columns, strict=True)]
         rows = pa.array([at for at, own in enumerate(gone) for _ in own], pa.int64())
@@ -193,7 +219,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All rows and columns with n_lines, n_removed, removed (line numbers) and kept_text.
 
     Lines are compared without outer and repeated white space; blank lines don't
-    count and stay.  The later document is the one with the larger id, null ids
+    count and stay.  A line goes if it stands in a run of at least BLOCK_WORDS words,
+    consecutive in both documents, of any earlier document; of lines that repeat in the later
+    document, as many go as the earlier one holds.  The later document is the one with the larger id, null ids
     coming first; rows that share an id are ordered by a hash of their text, and
     rows that repeat id and text are treated alike.  Null and empty texts lose nothing.
     With `rare`, lines that more documents hold link nothing alone.
@@ -202,21 +230,19 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = {"id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "tag": F.xxhash64(text)}
     rows = docs.select(*(c.alias(n) for n, c in key.items()), text.alias("text"))
     lines = stored(rows.mapInArrow(_hashed, "id long, tag long, lines binary, words binary"), "lines")
-    holders = lines.select("id", "tag", "lines", "words").mapInArrow(_features, "feature binary, pair boolean, id long, tag long")
-    first = holders.groupBy("feature", "pair").agg(F.min(F.struct("id", "tag")).alias("first"), F.count("*").alias("n"))
-    first = stored(first.filter(F.col("n") > 1).filter(F.col("pair") | (F.col("n") <= F.lit(float(rare)))).drop("n"), "line-features")
-    links = holders.join(first, ["feature", "pair"]).filter(F.struct("id", "tag") > F.col("first"))
+    holders = lines.select("id", "tag", "lines", "words").mapInArrow(_features, "feature binary, several boolean, id long, tag long")
+    first = holders.groupBy("feature", "several").agg(F.min(F.struct("id", "tag")).alias("first"), F.count("*").alias("n"))
+    first = stored(first.filter(F.col("n") > 1).filter(F.col("several") | (F.col("n") <= F.lit(float(rare)))).drop("n"), "line-features")
+    links = holders.join(first, ["feature", "several"]).filter(F.struct("id", "tag") > F.col("first"))
     links = stored(links.select("id", "tag", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag")).distinct(), "line-links")
     # a repeated row has the lines of its twin
     own = stored(lines.dropDuplicates(["id", "tag"]), "lines")
     other = own.select(F.col("id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("lines").alias("first_lines"))
     pairs = links.join(own, ["id", "tag"]).join(other, ["first_id", "first_tag"])
     gone = pairs.select("id", "tag", "first_lines", "lines", "words").mapInArrow(_aligned, "id long, tag long, line int")
-    gone = stored(gone.groupBy("id", "tag").agg(F.collect_set("line").alias("_gone")), "lines-removed")
+    gone = stored(gone.groupBy("id", "tag").agg(F.collect_set("line").alias("gone")), "lines-removed")
     discard(lines, first, links, own)
-    marked = docs.withColumns({f"_{n}": c for n, c in key.items()}).join(
-        gone.withColumnsRenamed({"id": "_id", "tag": "_tag"}).hint("merge"), ["_id", "_tag"], "left"
-    ).select(*docs.columns, "_gone")
+    marked, given = joined(docs, key, gone, "gone", "merge")
 
     def cut(texts: list[str], gone: list) -> list[list]:
         totals, removed, where, kept = [], [], [], []
@@ -235,4 +261,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kept.append("\n".join(left))
         return [totals, removed, where, kept]
 
-    return attach(marked, text_col, "n_lines long, n_removed long, removed array<long>, kept_text string", cut, given="_gone")
+    return attach(marked, text_col, "n_lines long, n_removed long, removed array<long>, kept_text string", cut, given=given)

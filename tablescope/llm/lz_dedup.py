@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.session import discard, stored
-from tablescope.llm.attach import attach
+from tablescope.llm.attach import attach, joined
 from tablescope.llm.words import mixed, rolling, sliced, split_words, word_hashes
 
 WINDOW = 50
@@ -291,10 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if len(frequent):
         found = found.unionByName(_often(rows, window, frequent))
     # repeated rows give the same runs
-    runs = stored(found.groupBy("id", "tag").agg(F.collect_set(F.struct("begin", "windows")).alias("_runs")), "lz-runs")
-    marked = docs.withColumns({f"_{n}": c for n, c in key.items()}).join(
-        runs.withColumnsRenamed({"id": "_id", "tag": "_tag"}), ["_id", "_tag"], "left"
-    ).select(*docs.columns, "_runs")
+    runs = stored(found.groupBy("id", "tag").agg(F.collect_set(F.struct("begin", "windows")).alias("runs")), "lz-runs")
+    marked, given = joined(docs, key, runs, "runs")
 
     def cut(texts: list[str], runs: list) -> list[list]:
         totals, removed, where, kept = [], [], [], []
@@ -313,7 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return [totals, removed, where, kept]
 
     fields = "n_words long, n_removed long, removed array<struct<begin: long, end: long>>, kept_text string"
-    return attach(marked, text_col, fields, cut, given="_runs")
+    return attach(marked, text_col, fields, cut, given=given)
 
 
 def digest(text: str) -> str:

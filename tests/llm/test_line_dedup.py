@@ -1,4 +1,4 @@
-"""Alignment and deletion beside a version that aligns with every first holder."""
+"""Alignment and deletion beside a comparison of all pairs of documents, line by line."""
 
 from __future__ import annotations
 
@@ -23,22 +23,32 @@ def norm(text):
     return [" ".join(line.split()) for line in (text or "").split("\n") if line.split()]
 
 
-def expected(rows, rare):
-    """Document -> removed count, with all features of all documents in dictionaries."""
-    order = sorted(range(len(rows)), key=lambda n: rows[n][0])
-    holders = {}
-    for n in order:
-        lines = norm(rows[n][1])
-        own = {("one", x) for x in lines if len(x.split()) >= d.LINE_WORDS}
-        own |= {("two", x, y) for x, y in zip(lines, lines[1:], strict=False) if len(x.split()) + len(y.split()) >= d.LINE_WORDS}
-        for f in own:
-            holders.setdefault(f, []).append(n)
-    links = {(own[0], n) for f, own in holders.items() if len(own) > 1 and (f[0] == "two" or len(own) <= rare) for n in own[1:]}
-    gone = {n: set() for n in order}
-    for a, b in links:
-        lines = norm(rows[b][1])
-        gone[b].update(d.common_blocks(norm(rows[a][1]), lines, [len(x.split()) for x in lines]))
-    return {rows[n][0]: len(gone[n]) for n in order}
+def covered(earlier, later):
+    """Lines of later in a run of at least five words that is consecutive in both, by a table of all line pairs."""
+    gone = set()
+    for p in range(-len(later), len(earlier)):
+        run = []
+        for q in range(len(later) + 1):
+            if q < len(later) and 0 <= p + q < len(earlier) and earlier[p + q] == later[q]:
+                run.append(q)
+                continue
+            if sum(len(later[i].split()) for i in run) >= 5:
+                gone.update(run)
+            run = []
+    return gone
+
+
+def expected(rows):
+    """Document -> removed lines, from all pairs of documents and all pairs of their lines."""
+    lines = {i: norm(text) for i, text in rows}
+    return {b: sorted(set().union(*(covered(lines[a], lines[b]) for a in lines if a < b))) for b in lines}
+
+
+def numbers(found, rows):
+    """Removed lines counted without blank ones."""
+    texts = dict(rows)
+    filled = {i: [n for n, x in enumerate((texts[i] or "").split("\n")) if x.split()] for i in texts}
+    return {r.doc_id: [filled[r.doc_id].index(n) for n in r.removed] for r in found}
 
 
 def corpus(prose):
@@ -52,11 +62,53 @@ def corpus(prose):
     return rows
 
 
-def test_equals_plain_version(make, prose):
+def test_equals_all_pairs(make, prose):
     rows = corpus(prose)
-    for rare in (2, 5, 100):
-        found = d.drop_repeated_lines(make(rows), rare=rare).collect()
-        assert {r.doc_id: r.n_removed for r in found} == expected(rows, rare)
+    assert numbers(d.drop_repeated_lines(make(rows)).collect(), rows) == expected(rows)
+
+
+def test_equals_all_pairs_with_short_lines_in_any_order(make):
+    """Lines of one to six words, few distinct ones, so blocks cross and overlap; repeated lines lose no more than that."""
+    rng = random.Random(9)
+    lines = [" ".join(f"w{n}{k}" for k in range(1 + n % 6)) for n in range(9)]
+    for size in (4, 9):
+        rows = [(i, "\n".join(rng.sample([*lines[:size], "", f"own {i}"], rng.randint(0, size)))) for i in range(60)]
+        assert numbers(d.drop_repeated_lines(make(rows)).collect(), rows) == expected(rows)
+    rows = [(i, "\n".join(rng.choice([*lines, ""]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    found, most = numbers(d.drop_repeated_lines(make(rows)).collect(), rows), expected(rows)
+    assert all(set(found[i]) <= set(most[i]) for i in most) and any(found.values())
+
+
+def test_an_earlier_document_keeps_no_later_copy(make, prose):
+    """Blocks in another order: what one earlier document removes, a further one doesn't bring back."""
+    p, q, own = prose(9, 1), prose(9, 2), prose(9, 3)
+    rows = [(1, f"{p}\n{q}"), (2, f"{q}\n{own}"), (3, f"{q}\n{p}")]
+    assert {r.doc_id: r.removed for r in d.drop_repeated_lines(make(rows)).collect()} == {1: [], 2: [0], 3: [0, 1]}
+    assert {r.doc_id: r.removed for r in d.drop_repeated_lines(make(rows[1:])).collect()} == {2: [], 3: [0]}
+
+
+def test_lines_of_one_word(make):
+    text = "alpha\nbeta\ngamma\ndelta\nepsilon\nzeta"
+    found = {r.doc_id: r.removed for r in d.drop_repeated_lines(make([(1, text), (2, text), (3, "beta\ngamma\ndelta\nepsilon")])).collect()}
+    assert found == {1: [], 2: [0, 1, 2, 3, 4, 5], 3: []}
+
+
+def test_input_columns_named_like_inner_ones(make, prose):
+    inner = ("_id", "_TAG", "_gone", "_text_", "_given_", "first.id")
+    docs = make([(1, prose(9, 1)), (2, prose(9, 1))])
+    for n in inner:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    rows = d.drop_repeated_lines(docs).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 1}
+    assert all(r[n] == f"own {n}" for r in rows for n in inner)
+
+
+def test_nothing_goes_without_the_alignment(make, prose, monkeypatch):
+    rows = [(1, prose(9, 1)), (2, prose(9, 1))]
+    lines = norm(rows[0][1])
+    assert d.common_blocks(lines, lines, [9]) == [0]
+    monkeypatch.setattr(d, "patience", lambda one, other: [])
+    assert d.common_blocks(lines, lines, [9]) == []
 
 
 def test_boilerplate_alone_links_nothing(make, prose):
@@ -81,7 +133,11 @@ def test_registered_query_equals_plain_version(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {r.doc_id: r.n_removed for r in op6_line_dedup(spark, sf).collect()} == expected(rows, d.RARE)
+    found, most = numbers(op6_line_dedup(spark, sf).collect(), rows), expected(rows)
+    for i, text in rows:
+        lines = norm(text)
+        assert set(found[i]) <= set(most[i]) and {lines[n] for n in found[i]} == {lines[n] for n in most[i]}
+        assert found[i] == most[i] or len(set(lines)) < len(lines)
 
 
 def test_frequent_line_goes_at_every_frequency(make, prose):

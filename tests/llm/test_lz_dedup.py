@@ -70,3 +70,13 @@ def test_windows_that_share_half_a_hash_are_different(make, prose, monkeypatch,
     found = lz_dedup.blocks_of(pa.array([t for _, t in rows]), 50)
     assert len(set(found.hashes)) == len(set(found.offsets)) == 1 and len(set(found.windows >> 32)) == len(ends)
     assert {r.n_removed for r in lz_dedup.remove_repeats(make(rows)).collect()} == {0}
+
+
+def test_input_columns_named_like_inner_ones(make, prose):
+    inner = ("_id", "_TAG", "_runs", "_text_", "_given_", "first.id")
+    docs = make([(1, prose(60, 1)), (2, prose(60, 1))])
+    for n in inner:
+        docs = docs.selectExpr("*", f"'own {n}' AS `{n}`")
+    rows = lz_dedup.remove_repeats(docs).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 60}
+    assert all(r[n] == f"own {n}" for r in rows for n in inner)
