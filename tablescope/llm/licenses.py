@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
 Around blocks of lines with licence vocabulary, runs of words that a template
-shares with the text place windows of the template's size, so text on the same
+shares with the text place candidate blocks of the template's size, so text on the same
 line or in the same block changes nothing.  A template is cut into one run more
-than words may differ; one run of every notice is therefore unchanged, and no
-notice within the allowed differences is missed.  The exact differences in wording
-confirm a window, and zstandard, alone and with the template as a raw-content
-dictionary, gives its size reduction.
+than words may differ; one run of every notice within the allowed differences is
+therefore unchanged and gives a candidate.  zstandard compresses each candidate alone and with every
+template as a raw-content dictionary.  Templates that save a good part of what they save on their own text are
+ranked by bytes saved, and the exact differences in wording confirm a winner; only a template that saves nearly as
+much can take its place by a closer wording.  A confirmed notice takes its words, the rest is compressed again.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ TEMPLATES = {
         "of the Software."
     ),
     "MIT-reference": "Released under the MIT License.",
+    "MIT-licensed": "Licensed under the MIT license.",
+    "MIT-title": "MIT License Copyright (c) #",
+    "SPDX": "SPDX-License-Identifier: #",
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
         "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
@@ -41,6 +45,12 @@ TEMPLATES = {
         "or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
     "Apache-2.0-reference": "Licensed under the Apache License, Version 2.0.",
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
         "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -58,6 +68,13 @@ TEMPLATES = {
         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
         "PURPOSE. See the GNU General Public License for more details."
     ),
+    "AGPL": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version # of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "AGPL-reference": "This work is licensed under the GNU Affero General Public License, version #.",
     "GPL-reference": "This work is licensed under the GNU General Public License, version #.",
     "LGPL-reference": "This work is licensed under the GNU Lesser General Public License, version #.",
     "MPL-2.0": (
@@ -80,6 +97,9 @@ GAP = 3
 LONG_LINE = 2000
 #: Differing words allowed as a share of the template.
 DIFFERENCES = 0.1
+#: Share of the bytes a template saves on its own text from which it is compared, and share of the winner's from which a closer wording counts.
+SAVED = 0.25
+NEAR = 0.9
 _WORD = re.compile(r"[\w#]+(?:[.\-/]\w+)*")
 _MARKS = re.compile(r"[^\w\s]*")
 _SENTENCE = re.compile(r"(?<=[.;!?])\s+")
@@ -161,17 +181,28 @@ class Scanner:
                 self.runs.setdefault(run[0], []).append((run, name, place))
         self.reach = max((len(w) + self.allowed(n) for n, w in self.words.items()), default=0)
         self.plain = zstandard.ZstdCompressor(compression_params=_SETTINGS)
-        self.given = {}
-        for name, text in templates.items():
-            own = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.given, self.own = {}, {}
+        for name, words in self.words.items():
+            data = " ".join(w for w in words if w != "#").encode()
+            own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(dict_data=own, compression_params=_SETTINGS)
+            #: Bytes a template saves on its own text.
+            self.own[name] = len(self.plain.compress(data)) - len(self.given[name].compress(data))
 
     def allowed(self, name: str) -> int:
         return int(DIFFERENCES * len(self.words[name]))
 
-    def reduction(self, notice: str, name: str) -> float:
-        data = notice.encode()
-        return 1 - len(self.given[name].compress(data)) / len(self.plain.compress(data))
+    def sizes(self, words: list[str], name: str) -> tuple[int, int]:
+        """Bytes of the words compressed alone and with the template."""
+        data = " ".join(words).encode()
+        return len(self.plain.compress(data)), len(self.given[name].compress(data))
+
+    def ranked(self, words: list[str]) -> list[tuple[int, str]]:
+        """(bytes saved, template) of all templates that save enough, most first."""
+        data = " ".join(words).encode()
+        alone = len(self.plain.compress(data))
+        saved = ((alone - len(packer.compress(data)), name) for name, packer in self.given.items())
+        return sorted((s for s in saved if s[0] > 0 and s[0] >= SAVED * self.own[s[1]]), key=lambda s: (-s[0], s[1]))
 
     def aligned(self, own: list[str], name: str) -> tuple[int, list[str], list[str], int, int] | None:
         """(differing words, missing, extra, first word, word after the last) if few enough differ."""
@@ -212,40 +243,51 @@ class Scanner:
     def scan(self, text: str) -> Iterator[tuple]:
         """Every confirmed licence, in order: range, licence, reduction, differences, missing, extra.
 
-        The best notice takes its words; what is left of the windows it touches is compared again.
+        Of all confirmed candidates the one with the fewest differing words goes first, then the one that saves most;
+        it takes its words, and what is left of the candidates it touches is compressed again.
         """
         for words, ranges in self.areas(text):
             known: dict[tuple, tuple | None] = {}
 
-            def compared(name: str, low: int, high: int) -> tuple | None:
-                own = self.aligned(words[low:high], name)
-                if not own:
+            def compared(low: int, high: int) -> tuple | None:
+                own, best, enough = words[low:high], None, 0.0
+                for saved, name in self.ranked(own):
+                    if saved < enough:
+                        break
+                    found = self.aligned(own, name)
+                    if not found:
+                        continue
+                    enough = enough or NEAR * saved
+                    order = found[0] / len(self.words[name]), -saved, name
+                    if best is None or order < best[0]:
+                        best = order, found
+                if not best:
                     return None
-                count, missing, extra, first, last = own
+                (*order, name), (count, missing, extra, first, last) = best
                 begin, end = ranges[low + first][0], _MARKS.match(text, ranges[low + last - 1][1]).end()
-                share, size, reduction = count / len(self.words[name]), len(self.words[name]), self.reduction(text[begin:end], name)
-                return (share, -size, -reduction, name, low + first, low + last), (begin, end, name, round(reduction, 4), count, missing, extra)
+                alone, given = self.sizes(own[first:last], name)
+                return (*order, name, low + first, low + last), (begin, end, name, round(1 - given / alone, 4), count, missing, extra)
 
             waiting: list[tuple] = []
 
-            def offer(name: str, low: int, high: int, begin: int, end: int) -> None:
-                window = name, low, high
+            def offer(low: int, high: int, begin: int, end: int) -> None:
+                window = low, high
                 if window not in known:
-                    known[window] = compared(*window)
+                    known[window] = compared(low, high)
                 if known[window]:
                     heappush(waiting, (known[window][0], window, begin, end))
 
             for window in self.windows(words):
-                offer(*window)
+                offer(*window[1:])
             taken, found = bytearray(len(words)), []
             while waiting:
-                (*_, first, last), (name, low, high), begin, end = heappop(waiting)
+                (*_, first, last), (low, high), begin, end = heappop(waiting)
                 if 1 not in taken[first:last]:
                     taken[first:last] = b"\1" * (last - first)
-                    found.append(known[name, low, high][1])
+                    found.append(known[low, high][1])
                 elif 1 not in taken[begin:end]:
                     after = taken.find(1, end, high)
-                    offer(name, max(low, taken.rfind(1, low, begin) + 1), high if after < 0 else after, begin, end)
+                    offer(max(low, taken.rfind(1, low, begin) + 1), high if after < 0 else after, begin, end)
             yield from sorted(found, key=lambda f: f[:2])
 
 
@@ -260,8 +302,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns: doc_id, block_begin and block_end (characters of the notice itself), license, reduction,
     differences, exact (no differing word), missing and extra words.  Null and
-    empty texts have none, repeated rows report each, null ids stay null.  Of templates with
-    equally few differing words the longer one wins, then the better reduction.
+    empty texts have none, repeated rows report each, null ids stay null.  The reduction is that of
+    the notice's lower-cased words.  Templates of under ten words allow no differing word; a holder's name may stand for one word.
     """
     chosen = dict(templates or TEMPLATES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tablescope.llm import licenses as li
 
 
@@ -106,3 +108,42 @@ def test_notices_that_touch_are_compared_without_each_other(make):
     assert sorted((r.block_begin, r.license, r.differences) for r in rows) == [
         (0, "ISC", 3), (len(first) + 1, "CC-BY", 0), (len(first) + 27, "ISC", 3),
     ]
+
+
+def test_nothing_is_found_without_compression(make, monkeypatch):
+    """Every licence comes through the bytes its template saves."""
+    scanner = li.Scanner(li.TEMPLATES)
+    text = li.TEMPLATES["ISC"]
+    assert [f[2] for f in scanner.scan(text)] == ["ISC"]
+    scanner.given = dict.fromkeys(scanner.given, scanner.plain)
+    assert list(scanner.scan(text)) == []
+    words = li.words_of(li.TEMPLATES["BSD-3-Clause"])
+    ranked = [name for _, name in li.Scanner(li.TEMPLATES).ranked(words)]
+    assert ranked[:2] == ["BSD-3-Clause", "BSD-2-Clause"] and "CC0" not in ranked
+
+
+def test_exact_notices_equal_a_search_by_pattern(spark):
+    """Notices without a differing word, found by one pattern per template in whole texts, longest first."""
+    # one point, hyphen or slash joins two parts of a word
+    patterns, between = [], r"(?:[^\w#]*[^\w#.\-/]|[.\-/]{2})[^\w#]*"
+    for name, template in sorted(li.TEMPLATES.items(), key=lambda t: -len(li.words_of(t[1]))):
+        parts = [r"[\w#]+(?:[.\-/]\w+)*" if w == "#" else re.escape(w) for w in li.words_of(template)]
+        patterns.append((name, re.compile(r"(?<!\w)" + between.join(parts) + r"(?![.\-/]?\w)", re.IGNORECASE)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = set()
+    for doc in docs.collect():
+        text = doc.text or ""
+        for name, pattern in patterns:
+            for m in pattern.finditer(text):
+                want.add((doc.doc_id, m.start(), name))
+            text = pattern.sub(lambda m: "\0" * len(m.group()), text)
+    found = {(r.doc_id, r.block_begin, r.license) for r in li.scan_licenses(docs).where("exact").collect()}
+    assert found == want and want
+
+
+def test_two_clauses_affero_and_short_lines(make, prose):
+    texts = ["SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the MIT license.", "MIT License\n\nCopyright (c) 2019 Jane Doe"]
+    texts += [f"{prose(20, 1)}\n{li.TEMPLATES[n].replace('#', '3')}\n{prose(20, 2)}" for n in ("BSD-2-Clause", "BSD-3-Clause", "AGPL", "GPL")]
+    rows = [(r.doc_id, r.license, r.differences) for r in li.scan_licenses(make(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    names = ["SPDX", "MIT-licensed", "MIT-title", "BSD-2-Clause", "BSD-3-Clause", "AGPL", "GPL"]
+    assert rows == [(i, n, 0) for i, n in enumerate(names)]
