@@ -309,3 +309,30 @@ def _model_logistic_certificate(spark, sf):
     proof = found["certificate"].where("model = 'Logistic Regression'")
     classes = found["class_distribution"].agg(F.count(F.lit(1)).alias("classes"))
     return proof.select((F.col("gradient") < 1e-4).alias("optimal"), (F.col("nudged_gradient") > F.col("gradient")).alias("worse_elsewhere")).crossJoin(classes)
+
+
+@query(
+    "model_forest_nodes",
+    """SELECT (3 * l_linenumber - 2)::DOUBLE AS prediction, 160::BIGINT AS trees FROM lineitem GROUP BY 1""",
+)
+def _model_forest_nodes(spark, sf):
+    """Every tree of a full forest ends in one value per place of the line."""
+    y = (3 * F.col("l_linenumber") - 2).alias("y")
+    df = table(spark, sf, "lineitem").select(y, "l_linenumber", "l_discount")
+    nodes = modeling.compare_models(df, "y", "regression", nodes=True)["forest_nodes"]
+    return nodes.where("left IS NULL").groupBy(F.round("prediction", 6).alias("prediction")).agg(F.countDistinct("tree").alias("trees"))
+
+
+@query(
+    "model_forest_walk",
+    f"""WITH s AS ({SIZES}) SELECT test::BIGINT AS rows_walked, test::BIGINT AS rows_same, true AS same_importance,
+  20::BIGINT AS whole_trees FROM s""",
+)
+def _model_forest_walk(spark, sf):
+    """Test rows walked down the node table beside the model's own shares; a whole tree has one leaf more than splits."""
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_linestatus")
+    found = modeling.compare_models(df, "l_returnflag", num_trees=20, max_depth=6, nodes=True)
+    trees = found["forest_nodes"].groupBy("tree").agg(F.sum(F.when(F.col("left").isNull(), 1).otherwise(-1)).alias("more"))
+    whole = trees.where("more = 1").agg(F.count(F.lit(1)).alias("whole_trees"))
+    check = found["forest_check"]
+    return check.select("rows_walked", "rows_same", (F.col("importance_gap") < 1e-9).alias("same_importance")).crossJoin(whole)
