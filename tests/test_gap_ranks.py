@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -74,3 +75,29 @@ def test_no_complete_rows(spark):
     df = spark.createDataFrame([(1, None), (None, 2)], "a long, b long")
     found = {(r["l"], r["r"]): r["rows_used"] for r in corr.spearman_coefficients(df, ["a", "b"], ["a", "b"]).collect()}
     assert found == {("a", "a"): 1, ("b", "b"): 1}
+
+
+def test_rows_are_dealt_out_by_value_and_never_repeated(spark, monkeypatch):
+    """Many tasks rank columns whose values lie between their cut values; whole numbers stay exact, no row is repeated for a pair."""
+    monkeypatch.setattr(gap_ranks, "TASK_ROWS", 40)
+    monkeypatch.setattr(gap_ranks, "HOT_VALUE", 0.05)
+    monkeypatch.setattr(gap_ranks, "SAMPLED_ROWS", 20)
+
+    def repeated(*_):
+        raise AssertionError("a row for every pair")
+
+    monkeypatch.setattr(gap_ranks, "F", SimpleNamespace(**{**vars(gap_ranks.F), "explode": repeated}))
+    rng, big = random.Random(5), 1 << 60
+    data = [
+        (
+            rng.choice([None, 3, 3, 3, rng.randint(0, 200)]), rng.choice([None, rng.randint(0, 400)]),
+            rng.choice([None, rng.gauss(0, 1), float("nan"), 0.5]), rng.choice([None, 0, 1]), i % 150,
+        )
+        for i in range(600)
+    ]
+    huge = [(*r[:4], big + r[4]) for r in data]
+    df = spark.createDataFrame(huge, "c0 long, c1 long, c2 double, c3 long, c4 long").repartition(5)
+    names = [f"c{k}" for k in range(5)]
+    found = {(r["l"], r["r"]): (None if r["coefficient"] is None else round(r["coefficient"], 9), r["rows_used"])
+             for r in corr.spearman_coefficients(df, names, names, broadcast_rows=2).collect()}
+    assert found == plain(data, 5)
