@@ -53,12 +53,32 @@ _BYTES = {name: np.frombuffer(own, np.uint8) for name, own in {
 }.items()}
 
 
-def lexicon_places(words: pa.Array) -> np.ndarray:
-    """Place of each word in the lexicon: lower case, without marks at its ends."""
-    plain = pc.utf8_trim(pc.utf8_lower(words), characters=_EDGES).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    own = np.fromiter((digest(w) % LEXICON for w in plain.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(plain.dictionary))
-    return own[plain.indices.to_numpy()] if len(words) else own
+def digests(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def lexicon_places(words: pa.Array, known: np.ndarray | None = None) -> np.ndarray:
+    """Place of each word in the lexicon: lower case, without marks at its ends.
+
+    `known` are digests of the words, which must differ; most words are plain as they stand.
+    """
+    plain = pc.utf8_trim(pc.utf8_lower(words), characters=_EDGES)
+    if known is None:
+        plain = plain.dictionary_encode()
+        return (digests(plain.dictionary) % np.uint64(LEXICON)).astype(np.int64)[plain.indices.to_numpy()]
+    found = known.copy()
+    other = pc.not_equal(plain, words).to_numpy(zero_copy_only=False)
+    rest = plain.filter(pa.array(other)).dictionary_encode()
+    found[other] = digests(rest.dictionary)[rest.indices.to_numpy()]
+    return (found % np.uint64(LEXICON)).astype(np.int64)
+
+
+def last_bytes(words: pa.Array) -> np.ndarray:
+    """The last byte of each word, none of which is empty."""
+    if not len(words):
+        return np.empty(0, np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], np.uint8)[offsets[1:] - 1]
 
 
 def features(texts: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +88,17 @@ def features(texts: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
     sizes = np.diff(offsets)
     n = np.maximum(1, sizes).astype(float)
     coded = words.dictionary_encode()
-    own = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = digests(coded.dictionary)
     codes, owner = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(count), sizes)
-    bucket = np.fromiter((xxhash.xxh64_intdigest(w) % HASHED for w in own), np.int64, len(own))
-    marked = np.fromiter((w[-1] in _MARKS for w in own), float, len(own))
+    bucket = (own % np.uint64(HASHED)).astype(np.int64)
+    marked = np.isin(last_bytes(coded.dictionary), np.frombuffer(_MARKS, np.uint8)).astype(float)
     hashed = np.bincount(owner * HASHED + bucket[codes], minlength=count * HASHED).reshape(count, HASHED)
     pairs, times = np.unique(owner * max(1, len(own)) + codes, return_counts=True)
     holder = pairs // max(1, len(own))
     distinct, most = np.bincount(holder, minlength=count), np.zeros(count)
-    np.maximum.at(most, holder, times)
+    first = np.flatnonzero(np.diff(holder, prepend=-1))  # pairs are sorted by their text
+    if len(first):
+        most[holder[first]] = np.maximum.reduceat(times, first)
     bytes_of = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t in texts]).reshape(count, 256)
     chars = np.maximum(1, bytes_of.sum(axis=1)).astype(float)
     of = {name: bytes_of[:, places].sum(axis=1) for name, places in _BYTES.items()}
@@ -87,7 +109,7 @@ def features(texts: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.log1p(sizes), chars / n / 10, of["sign"] / chars * 10, of["upper"] / chars, of["digit"] / chars * 10, distinct / n, most / n,
         np.log1p(n_lines), 1 - other / np.maximum(1, n_lines), of["bar"] / n, of["call"] / n, np.bincount(owner, marked[codes], count) / n,
     ]
-    found = lexicon_places(coded.dictionary)[codes]
+    found = lexicon_places(coded.dictionary, own)[codes]
     for weights in lexicon:
         total = np.bincount(owner, weights[found], count)
         shape += [total / np.sqrt(n), np.log1p(total), total / n * 10]

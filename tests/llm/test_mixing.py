@@ -77,3 +77,17 @@ def test_targets_out_of_reach_leave_a_residual(spark, make):
     mixture = mixing.fit_rates(docs, mixing.fit_classifier(docs, mixing.domain_labels(labels)))
     assert mixture.residual == pytest.approx(0.1, abs=1e-6)
     assert np.isfinite(mixture.multipliers).all()
+
+
+def test_a_word_of_a_slice_is_hashed_once(monkeypatch):
+    hashed, digest = [], mixing.xxhash.xxh64_intdigest
+    monkeypatch.setattr(mixing.xxhash, "xxh64_intdigest", lambda word, *seed: hashed.append(word) or digest(word, *seed))
+    lexicon = np.arange(2 * mixing.LEXICON, dtype=np.float32).reshape(2, -1)
+    texts = ["one two three one", "", "Two (three)! four$"]
+    sizes, given = mixing.features(texts, lexicon)
+    # the words as they stand, then those that change without marks and capitals
+    assert sorted(hashed) == sorted([b"one", b"two", b"three", b"Two", b"(three)!", b"four$", b"two", b"three"])
+    places = [digest(w) % mixing.LEXICON for w in (b"two", b"three", b"four$")]
+    assert sizes.tolist() == [4, 0, 3] and given[2, 12] == pytest.approx(sum(places) / np.sqrt(3), rel=1e-6)
+    assert given[2, 11] == pytest.approx(1 / 3) and given[0, 6] == 0.5
+    assert mixing.features([""], lexicon)[0].tolist() == [0]
