@@ -1,16 +1,28 @@
-"""Fitted forests as tables of nodes: rows walked down by joins, importances as sums over splits."""
+"""Forests grown from counted cells, and fitted forests as tables of nodes: rows walked down by joins, importances as sums over splits."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import RandomForestClassificationModel
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.functions.columns import ref
 from tablescope.functions.session import scratch_path, stored
+from tablescope.operators.ranks import exact_quantiles
 
+#: Bins a tree tells apart in a number, as in Spark's own forests.
+BINS = 32
+#: Trees that grow at the same time.
+SIDE_BY_SIDE = 8
 #: Levels walked in one plan; then the rows are written and read again.
 LEVELS = 8
 
@@ -103,3 +115,88 @@ def forest_check(model, forest: Forest, df: DataFrame, features: str = "features
     gaps = node_importances(forest).join(given, "position", "full")
     gaps = gaps.agg(F.max(F.abs(F.coalesce("given", F.lit(0.0)) - F.coalesce("importance", F.lit(0.0)))).alias("importance_gap"))
     return compared.crossJoin(gaps)
+
+
+# -- forests from counted cells --------------------------------------------------
+
+
+def bin_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """At most ``BINS - 1`` increasing cuts per number; a bin begins with its cut.
+
+    Up to ``BINS`` values are told apart; of more, the quantiles are, and where values that
+    hold several quantiles leave cuts over, the quantiles of the other values.
+    """
+    if not columns:
+        return {}
+    sizes = df.agg(*[F.approx_count_distinct(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    few = [c for c, n in zip(columns, sizes) if n <= 2 * BINS]
+    values: dict[str, list[float]] = {c: [] for c in few}
+    if few:
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), ref(c).cast("double").alias("v")) for c in few])
+        for r in df.select(F.explode(cells).alias("e")).select("e.*").distinct().collect():
+            values[r["c"]].append(r["v"])
+    cuts = {c: sorted(v)[1:] for c, v in values.items() if len(v) <= BINS}
+    many = [c for c in columns if c not in cuts]
+    if many:
+        shares = [0.0, *[i / BINS for i in range(1, BINS)], 1.0]
+        found = exact_quantiles(df, {c: shares for c in many})
+        cuts |= {c: sorted({v for v in found[c] if v > found[c][0]}) for c in many}
+        rest = {c: [i / (BINS - len(cuts[c])) for i in range(1, BINS - len(cuts[c]))] for c in many if len(cuts[c]) < BINS - 1}
+        if rest:
+            others = df.select(*[F.when(~ref(c).cast("double").isin([found[c][0], *cuts[c]]), ref(c).cast("double")).alias(c) for c in rest])
+            more = exact_quantiles(others, rest)
+            cuts |= {c: sorted({*cuts[c], *[v for v in more[c] if v is not None]}) for c in rest}
+        # the largest value goes where it is one too many
+        cuts |= {c: cuts[c][: BINS - 1] for c in many}
+    return {c: [v for v in found if math.isfinite(v)] for c, found in cuts.items()}
+
+
+def counted_cells(df: DataFrame, cuts: Mapping[str, Sequence[float]], keys: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """``keys``, ``more`` and ``_cell_rows``: how many rows agree in them, numbers replaced by the number of their bin."""
+    plain = df.select(*[(ref(c).cast("double") if c in cuts else ref(c)).alias(f"_k{i}") for i, c in enumerate(keys)], *more)
+    inputs = [f"_k{i}" for i, c in enumerate(keys) if c in cuts]
+    if inputs:
+        splits = [[-np.inf, *map(float, cuts[c]), np.inf] for c in keys if c in cuts]
+        plain = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=[f"_b{i}" for i in inputs]).transform(plain)
+    # a sum carries no metadata: with it the trees would take bins for categories without an order
+    named = [(F.col(f"_b_k{i}") + F.lit(0.0) if c in cuts else F.col(f"_k{i}")).alias(c) for i, c in enumerate(keys)]
+    return plain.groupBy(*named, *more).agg(F.count(F.lit(1)).alias("_cell_rows"))
+
+
+def forest_of_cells(cells: DataFrame, classes: int, trees: int, depth: int, seed: int) -> RandomForestClassificationModel:
+    """The forest of rows that are given as cells: ``features, _y, _w`` (weight of a row), ``_cell_rows`` (rows) and ``_cell_hash`` (hash).
+
+    A bootstrap count of a row is Poisson(1), so the counts of the ``_cell_rows`` rows of a cell add up to
+    Poisson(_cell_rows), drawn at once; a tree sees of a row no more than its cell.
+    """
+    spark = cells.sparkSession
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": classes}}
+
+    def drawn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [np.random.default_rng([seed, h & (2**64 - 1)]).poisson(n, trees) for h, n in zip(batch["_cell_hash"].tolist(), batch["_cell_rows"].tolist())]
+            yield pd.DataFrame({"_cell_hash": batch["_cell_hash"], "_cell_rows": batch["_cell_rows"], "_drawn": [c.tolist() for c in counts]})
+
+    keys = cells.select("_cell_hash", "_cell_rows").distinct().mapInPandas(drawn, "_cell_hash long, _cell_rows long, _drawn array<long>")
+    held = stored(cells.join(keys, ["_cell_hash", "_cell_rows"]).select("features", "_y", "_w", "_drawn").coalesce(1), "forest-cells").persist()
+    width = held.first()["features"].size
+
+    def grown(tree: int):
+        weight = (F.col("_w") * F.col("_drawn")[tree]).alias("_w")
+        seen = held.select("features", F.col("_y").alias("_y", metadata=nominal), weight).where("_w > 0")
+        one = RandomForestClassifier(
+            featuresCol="features", labelCol="_y", weightCol="_w", numTrees=1, bootstrap=False,
+            maxDepth=depth, maxBins=BINS, featureSubsetStrategy="sqrt", seed=seed * 100_003 + tree,
+        )
+        return one.fit(seen)._java_obj.trees()[0]
+
+    with ThreadPool(SIDE_BY_SIDE) as pool:
+        found = pool.map(grown, range(trees), chunksize=1)
+    held.unpersist()
+    package = spark._jvm.org.apache.spark.ml.classification
+    array = spark.sparkContext._gateway.new_array(package.DecisionTreeClassificationModel, trees)
+    for i, tree in enumerate(found):
+        array[i] = tree
+    model = package.RandomForestClassificationModel(array, width, classes)
+    model.set(model.numTrees(), trees)
+    return RandomForestClassificationModel(model)
