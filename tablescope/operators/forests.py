@@ -188,15 +188,15 @@ def forest_of_cells(cells: DataFrame, classes: int, trees: int, depth: int, seed
             featuresCol="features", labelCol="_y", weightCol="_w", numTrees=1, bootstrap=False,
             maxDepth=depth, maxBins=BINS, featureSubsetStrategy="sqrt", seed=seed * 100_003 + tree,
         )
-        return one.fit(seen)._java_obj.trees()[0]
+        return one.fit(seen)
 
     with ThreadPool(SIDE_BY_SIDE) as pool:
         found = pool.map(grown, range(trees), chunksize=1)
     held.unpersist()
     package = spark._jvm.org.apache.spark.ml.classification
     array = spark.sparkContext._gateway.new_array(package.DecisionTreeClassificationModel, trees)
-    for i, tree in enumerate(found):
-        array[i] = tree
+    for i, one in enumerate(found):  # the fits are held until here: one that is collected takes its trees along
+        array[i] = one._java_obj.trees()[0]
     model = package.RandomForestClassificationModel(array, width, classes)
     model.set(model.numTrees(), trees)
     return RandomForestClassificationModel(model)
