@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import ref
-from tablescope.functions.session import scratch_path, stored
+from tablescope.functions.session import pinned, scratch_path, stored
 from tablescope.operators.ranks import exact_quantiles
 
 #: Bins a tree tells apart in a number, as in Spark's own forests.
@@ -151,8 +154,8 @@ def bin_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
     return {c: [v for v in found if math.isfinite(v)] for c, found in cuts.items()}
 
 
-def counted_cells(df: DataFrame, cuts: Mapping[str, Sequence[float]], keys: Sequence[str], more: Sequence[str]) -> DataFrame:
-    """``keys``, ``more`` and ``_cell_rows``: how many rows agree in them, numbers replaced by the number of their bin."""
+def binned(df: DataFrame, cuts: Mapping[str, Sequence[float]], keys: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """``keys`` and ``more`` of every row, numbers replaced by the number of their bin."""
     plain = df.select(*[(ref(c).cast("double") if c in cuts else ref(c)).alias(f"_k{i}") for i, c in enumerate(keys)], *more)
     inputs = [f"_k{i}" for i, c in enumerate(keys) if c in cuts]
     if inputs:
@@ -160,7 +163,25 @@ def counted_cells(df: DataFrame, cuts: Mapping[str, Sequence[float]], keys: Sequ
         plain = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=[f"_b{i}" for i in inputs]).transform(plain)
     # a sum carries no metadata: with it the trees would take bins for categories without an order
     named = [(F.col(f"_b_k{i}") + F.lit(0.0) if c in cuts else F.col(f"_k{i}")).alias(c) for i, c in enumerate(keys)]
-    return plain.groupBy(*named, *more).agg(F.count(F.lit(1)).alias("_cell_rows"))
+    return plain.select(*named, *more)
+
+
+def counted_cells(df: DataFrame, cuts: Mapping[str, Sequence[float]], keys: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """``keys``, ``more`` and ``_cell_rows``: how many rows agree in them, numbers replaced by the number of their bin."""
+    return binned(df, cuts, keys, more).groupBy(*[ref(c) for c in keys], *more).agg(F.count(F.lit(1)).alias("_cell_rows"))
+
+
+def _together(spark: SparkSession, kind: str, grown: Callable, trees: int, *sizes: int):
+    """The forest of the trees that ``grown`` fits one by one, through the constructor of Spark's model."""
+    with ThreadPool(SIDE_BY_SIDE) as pool:
+        found = pool.map(grown, range(trees), chunksize=1)
+    package = getattr(spark._jvm.org.apache.spark.ml, "classification" if kind == "Classification" else "regression")
+    array = spark.sparkContext._gateway.new_array(getattr(package, f"DecisionTree{kind}Model"), trees)
+    for i, one in enumerate(found):  # the fits are held until here: one that is collected takes its trees along
+        array[i] = one._java_obj.trees()[0]
+    model = getattr(package, f"RandomForest{kind}Model")(array, *sizes)
+    model.set(model.numTrees(), trees)
+    return model
 
 
 def forest_of_cells(cells: DataFrame, classes: int, trees: int, depth: int, seed: int) -> RandomForestClassificationModel:
@@ -169,7 +190,6 @@ def forest_of_cells(cells: DataFrame, classes: int, trees: int, depth: int, seed
     A bootstrap count of a row is Poisson(1), so the counts of the ``_cell_rows`` rows of a cell add up to
     Poisson(_cell_rows), drawn at once; a tree sees of a row no more than its cell.
     """
-    spark = cells.sparkSession
     nominal = {"ml_attr": {"type": "nominal", "num_vals": classes}}
 
     def drawn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,13 +210,93 @@ def forest_of_cells(cells: DataFrame, classes: int, trees: int, depth: int, seed
         )
         return one.fit(seen)
 
-    with ThreadPool(SIDE_BY_SIDE) as pool:
-        found = pool.map(grown, range(trees), chunksize=1)
+    model = _together(cells.sparkSession, "Classification", grown, trees, width, classes)
     held.unpersist()
-    package = spark._jvm.org.apache.spark.ml.classification
-    array = spark.sparkContext._gateway.new_array(package.DecisionTreeClassificationModel, trees)
-    for i, one in enumerate(found):  # the fits are held until here: one that is collected takes its trees along
-        array[i] = one._java_obj.trees()[0]
-    model = package.RandomForestClassificationModel(array, width, classes)
-    model.set(model.numTrees(), trees)
     return RandomForestClassificationModel(model)
+
+
+def drawn_sums(df: DataFrame, centres: Mapping[int, float], trees: int, seed: int) -> DataFrame:
+    """``_cell_hash`` and ``_sums``: bootstrap counts N, then N d, then N d^2 of the cell's rows added up, a value per tree each.
+
+    ``df`` has ``_cell_hash`` and ``_y`` of every row, d is the distance of ``_y`` from the centre of the cell.  Every row gets
+    Poisson(1) for every tree; equal rows of a batch get theirs, Poisson(their number), at once.
+    """
+    known = np.array(sorted(centres), np.int64)
+    middle = np.array([centres[h] for h in known.tolist()])
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        total = np.zeros((len(known), 3, trees))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cell = np.searchsorted(known, cell)
+            order = np.lexsort((y, cell))
+            cell, y = cell[order], y[order]
+            at = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (y[1:] != y[:-1])))
+            n, cell, d = np.diff(np.append(at, len(y))), cell[at], y[at] - middle[cell[at]]
+            counts = rng.poisson(n[:, None], (len(n), trees)).astype(float)
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            for k in range(3):
+                total[cell[starts], k] += np.add.reduceat(counts, starts, axis=0)
+                counts *= d[:, None]
+        seen = np.flatnonzero(total[:, 0].any(axis=1))
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * (3 * trees)), pa.array(total[seen].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(known[seen]), sums], names=["_cell_hash", "_sums"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        sums = parts.column("_sums").combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0)
+        return pa.table({"_cell_hash": parts.column("_cell_hash").slice(0, 1), "_sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    schema = "_cell_hash long, _sums array<double>"
+    return df.select("_cell_hash", "_y").mapInArrow(summed, schema).groupBy("_cell_hash").applyInArrow(added, schema)
+
+
+def regression_forest_of_cells(cells: DataFrame, sums: DataFrame, trees: int, depth: int, seed: int) -> RandomForestRegressionModel:
+    """The forest of rows that are given as cells: ``features, _cell_hash, _centre``, and their `drawn_sums`.
+
+    A tree knows a cell by the weight, the sum and the sum of squares of its targets, so it grows the same from two
+    places, mean - deviation and mean + deviation, with half of the weight each.
+    """
+    held = stored(cells.join(sums, "_cell_hash").select("features", "_centre", "_sums").coalesce(1), "forest-cells").persist()
+    width = held.first()["features"].size
+
+    def grown(tree: int):
+        weight, total, squares = (F.col("_sums")[k * trees + tree] for k in range(3))
+        told = held.select("features", "_centre", weight.alias("_n"), total.alias("_s"), squares.alias("_q")).where("_n > 0")
+        told = told.withColumns({"_s": F.col("_s") / F.col("_n"), "_q": F.col("_q") / F.col("_n")})
+        apart = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * F.col("_s")))
+        mean = F.col("_centre") + F.col("_s")
+        told = told.select("features", mean.alias("_mean"), apart.alias("_apart"), "_n")
+        places = [F.struct((F.col("_mean") + side * F.col("_apart")).alias("_y"), (F.col("_n") / 2).alias("_w")) for side in (-1, 1)]
+        single = F.struct(F.col("_mean").alias("_y"), F.col("_n").alias("_w"))
+        seen = told.select("features", F.explode(F.when(F.col("_apart") > 0, F.array(*places)).otherwise(F.array(single))).alias("e")).select("features", "e.*")
+        one = RandomForestRegressor(
+            featuresCol="features", labelCol="_y", weightCol="_w", numTrees=1, bootstrap=False,
+            maxDepth=depth, maxBins=BINS, featureSubsetStrategy="all", seed=seed * 100_003 + tree,
+        )
+        return one.fit(seen)
+
+    model = _together(cells.sparkSession, "Regression", grown, trees, width)
+    held.unpersist()
+    return RandomForestRegressionModel(model)
+
+
+def on_numbers(model, cuts: Sequence[Sequence[float]]):
+    """The same forest for rows whose first features are numbers; ``model`` sees their bins, ``cuts`` has the cuts of each.
+
+    A bin up to k goes left, that is a number below the cut that begins bin k + 1: one up to the next smaller number.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    below = F.array(*[F.array(*[F.lit(float(np.nextafter(v, -np.inf))) for v in own]).cast("array<double>") for own in cuts]).cast("array<array<double>>")
+    saved = spark.read.parquet(f"{path}/data")
+    split = F.col("nodeData.split")
+    at = F.get(F.get(below, split["featureIndex"]), F.floor(F.get(split["leftCategoriesOrThreshold"], F.lit(0))).cast("int"))
+    number = (F.col("nodeData.leftChild") >= 0) & (split["numCategories"] < 0) & (split["featureIndex"] < len(cuts))
+    moved = F.when(number, F.array(at)).otherwise(split["leftCategoriesOrThreshold"])
+    saved = saved.withColumn("nodeData", F.col("nodeData").withField("split.leftCategoriesOrThreshold", moved))
+    pinned(saved).write.mode("overwrite").parquet(f"{path}/data")
+    return type(model).load(path)
