@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from tablescope.operators.ranks import exact_quantiles
 BINS = 32
 #: Trees that grow at the same time.
 SIDE_BY_SIDE = 8
+#: Rows of at most this many features are folded by the thresholds between which they lie.
+FOLDED_WIDTH = 64
 #: Levels walked in one plan; then the rows are written and read again.
 LEVELS = 8
 
@@ -103,15 +105,43 @@ def node_importances(forest: Forest) -> DataFrame:
     return parts.select("position", (F.col("importance") / F.lit(whole)).alias("importance"))
 
 
+def _folded(own: DataFrame, forest: Forest, width: int, more: Sequence[str]) -> DataFrame:
+    """``x``, ``more`` and ``n``: how many rows agree in ``more`` and lie between the same thresholds of the forest.
+
+    ``x`` is a place between them; rows there go the same way in every tree.  Of wide rows only equal ones are folded.
+    """
+    if width > FOLDED_WIDTH:
+        return own.groupBy("x", *more).agg(F.count(F.lit(1)).alias("n"))
+    splits = forest.nodes.where("left IS NOT NULL").groupBy("feature")
+    found = splits.agg(F.collect_set("threshold").alias("at"), F.max(F.col("categories").isNotNull()).alias("named")).collect()
+    plain = own.select(*more, *[F.col("x")[r.feature].alias(f"_x{r.feature}") for r in found])
+    numbers = [r for r in found if not r.named]
+    if numbers:
+        # a value equal to a threshold goes left, so a place begins with the next larger number
+        splits = [[-np.inf, *sorted(float(np.nextafter(v, np.inf)) for v in r.at), np.inf] for r in numbers]
+        inputs, places = ([f"{kind}{r.feature}" for r in numbers] for kind in ("_x", "_b"))
+        plain = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=places, handleInvalid="keep").transform(plain)
+    keys = [f"_x{r.feature}" if r.named else f"_b{r.feature}" for r in found]
+    least = [F.min(f"_x{r.feature}").alias(f"_least{r.feature}") for r in found]
+    points = plain.groupBy(*keys, *more).agg(F.count(F.lit(1)).alias("n"), *least)
+    used = {r.feature for r in found}
+    return points.select(F.array(*[F.col(f"_least{i}") if i in used else F.lit(0.0) for i in range(width)]).alias("x"), *more, "n")
+
+
 def forest_check(model, forest: Forest, df: DataFrame, features: str = "features") -> DataFrame:
-    """``rows_walked, rows_same, importance_gap``: the node table beside the model's own predictions and importances."""
-    told = "probability" if isinstance(model, RandomForestClassificationModel) else None
-    rows = stored(df.select(F.monotonically_increasing_id().alias("row"), features), "forest-rows")
-    own = model.transform(rows).select("row", F.col("prediction").alias("own"), *([vector_to_array(told).alias("told")] if told else []))
-    both = own.join(walked(forest, rows, "row", features), "row", "left")
+    """``rows_walked, rows_same, importance_gap``: the node table beside the model's own predictions and importances.
+
+    The model predicts every row; rows that no split tells apart are walked once, for each prediction they got.
+    """
+    told = ["told"] if isinstance(model, RandomForestClassificationModel) else []
+    own = model.transform(df).select(vector_to_array(features).alias("x"), F.col("prediction").alias("own"), *[vector_to_array("probability").alias(c) for c in told])
+    points = _folded(own, forest, model.numFeatures, ["own", *told]).select(F.monotonically_increasing_id().alias("row"), array_to_vector("x").alias(features), "own", *told, "n")
+    points = stored(points, "forest-points")
+    both = points.join(walked(forest, points, "row", features), "row", "left")
     gap = F.array_max(F.zip_with("told", "shares", lambda a, b: F.abs(a - b))) if told else F.abs(F.col("own") - F.col("prediction"))
+    zero = F.lit(0).cast("long")
     compared = both.agg(
-        F.count(F.lit(1)).alias("rows_walked"), F.coalesce(F.sum(F.when(gap < 1e-9, 1).otherwise(0)), F.lit(0)).cast("long").alias("rows_same")
+        F.coalesce(F.sum("n"), zero).alias("rows_walked"), F.coalesce(F.sum(F.when(gap < 1e-9, F.col("n")).otherwise(zero)), zero).alias("rows_same")
     )
     values = model.featureImportances
     given = df.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(values.indices, values.values)], "position int, given double")

@@ -77,3 +77,16 @@ def test_comparison_gives_nodes_only_when_asked(rows):
     assert check.rows_walked == check.rows_same == found["rows"].first().rows_test
     assert found["forest_nodes"].where("node = 0").count() == 3
     assert "forest_nodes" not in modeling.compare_models(df, "label", num_trees=1, max_depth=1)
+
+
+def test_check_walks_rows_of_one_place_once(rows, monkeypatch):
+    """Rows between the same thresholds are walked once, with all of them counted; wide rows fold if they are equal."""
+    model = RandomForestRegressor(labelCol="y", numTrees=3, maxDepth=3, seed=6).fit(rows)
+    forest, walked, seen = forests.forest_nodes(model), forests.walked, []
+    monkeypatch.setattr(forests, "walked", lambda f, points, *a: seen.append(points.count()) or walked(f, points, *a))
+    many = rows.unionByName(rows).unionByName(rows)
+    for width in (forests.FOLDED_WIDTH, 1):
+        monkeypatch.setattr(forests, "FOLDED_WIDTH", width)
+        check = forests.forest_check(model, forest, many).first()
+        assert (check.rows_walked, check.rows_same) == (900, 900) and check.importance_gap < 1e-9
+    assert seen[0] < 150 and seen[1] == 300
